@@ -15,6 +15,7 @@ of any length are encoded whole. Rows with equal ids or texts are treated row by
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -134,27 +135,24 @@ class PrefixTableBpe:
                 until, inside_right, right = formed_right, True, self.parts_of(right)[0]
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
-        found: list[list[str]] = [[] for _ in unit]
-        for end, piece in self.automaton.iter(unit):
-            found[end].append(piece)
         pairs = self.pairs
-        if len(pairs) > 4 * self.limit:
+        if len(pairs) > self.limit:
             pairs.clear()
-        last: list[str] = [""] * (len(unit) + 1)
-        for i, pieces in enumerate(found, 1):
-            last[i] = unit[i - 1]  # a character without a piece stands for itself
-            for piece in pieces:  # the automaton gives the longest first
-                start = i - len(piece)
-                if start:
-                    pair = (last[start], piece)
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        fits = pairs[pair] = self.parts_of(piece) is not None and self.compatible(*pair)
-                else:
-                    fits = self.parts_of(piece) is not None
-                if fits:
-                    last[i] = piece
-                    break
+        last = ["", *unit]  # a character without a piece stands for itself
+        filled = -1
+        for end, piece in self.automaton.iter(unit):  # by end, the longest first
+            if end == filled:
+                continue
+            start = end + 1 - len(piece)
+            if start:
+                pair = (last[start], piece)
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = pairs[pair] = self.parts_of(piece) is not None and self.compatible(*pair)
+            else:
+                fits = self.parts_of(piece) is not None
+            if fits:
+                last[end + 1], filled = piece, end
         ids: list[int] = []
         i = len(unit)
         while i:
@@ -242,6 +240,18 @@ class _Memo(dict):
         return ids
 
 
+_built: dict[bytes, PrefixTableBpe] = {}
+
+
+def shared_table(model: bytes) -> PrefixTableBpe:
+    """One table for each worker process, so that its memo outlives a task."""
+    key = hashlib.sha256(model).digest()
+    if key not in _built:
+        _built.clear()
+        _built[key] = PrefixTableBpe(model)
+    return _built[key]
+
+
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (array, null unless with_ids), decoded (null unless with_ids), ids_sha256, decoded_sha256.
 
@@ -256,7 +266,14 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     target = arrow_of(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PrefixTableBpe(sent.value)
+        table = shared_table(sent.value)
+        gc.disable()  # millions of small tuples without cycles
+        try:
+            yield from encoded(table, batches)
+        finally:
+            gc.enable()
+
+    def encoded(table: PrefixTableBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in target}
             out["doc_id"] = batch.column("doc_id")
