@@ -114,7 +114,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_modulus: int = 100, k: int = 10,
-    list_rows: int = 128, replicas: int = 4, boundary_ratio: float = 1.05, probe_ratio: float = 1.18, beam: int = 24, sample_rows: int = SAMPLE_ROWS,
+    list_rows: int = 128, replicas: int = 4, boundary_ratio: float = 1.05, probe_ratio: float = 1.24, beam: int = 24, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, nearest first, ties to the smaller id.
 
