@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
-from .common import table
+from .common import held_out_fold, table
+from .langid import fit as fit_languages
+from .langid import identify
 from .sentencepiece_bpe import encode_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -24,6 +26,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, fit_languages(docs))
+    return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
@@ -39,6 +47,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_langid": op2_langid,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ann": op10_ann,
