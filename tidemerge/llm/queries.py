@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
+from . import toxicity
 from .common import held_out_fold, table
 from .langid import fit as fit_languages
 from .langid import identify
@@ -32,6 +33,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
@@ -48,6 +55,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_langid": op2_langid,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ann": op10_ann,
