@@ -14,6 +14,8 @@ from .langid import identify
 from .sentencepiece_bpe import encode_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring_dedup import deduplicate
+from .token_counts import count_tokens
 
 
 def piece_model() -> str:
@@ -33,6 +35,16 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "lang_pred", "score")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +67,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_langid": op2_langid,
+    "op3_token_counts": op3_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
