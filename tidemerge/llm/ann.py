@@ -21,6 +21,8 @@ from .common import arrow_of, record_batch, saved, slim
 
 #: Documented bounds: sampled vectors that centroids are fitted to, centroids, vectors and queries of a block.
 SAMPLE_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4096, 512, 128
+#: Lists that a query is compared with first, for a bound on its k-th distance.
+FIRST_LISTS = 4
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +168,7 @@ def nearest(
     queries = rows.where(F.col("vec_id") % query_modulus == 0)
     distinct = queries.groupBy("vec").agg(F.min("vec_id").alias("query"))
 
-    probe = arrow_of("list int, query long, vec array<float>")
+    probe = arrow_of("list int, query long, vec array<float>, place int")
 
     def probes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,41 +177,44 @@ def nearest(
                 found = [sent.value.search(q, probe_ratio, beam) for q in matrix(part.column("vec"))]
                 at = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 taken = part.take(pa.array(at))
-                yield record_batch(probe, {"list": np.concatenate(found).astype(np.int32), "query": taken.column("query"), "vec": taken.column("vec")})
+                places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+                yield record_batch(probe, {"list": np.concatenate(found).astype(np.int32), "query": taken.column("query"), "vec": taken.column("vec"), "place": places})
 
-    probed = saved(distinct.mapInArrow(probes, "list int, query long, vec array<float>"))
+    probed = saved(distinct.mapInArrow(probes, "list int, query long, vec array<float>, place int"))
 
-    def blocks(rows: DataFrame, key: str, most: int, names: tuple[str, str, str]) -> DataFrame:
-        """A row for each list and part: ids and vectors of at most some ``most`` rows."""
+    def blocks(rows: DataFrame, key: str, most: int, *also: str) -> DataFrame:
+        """A row for each list and part: keys and vectors of at most some ``most`` rows."""
         sizes = rows.groupBy("list").count().select("list", F.ceil(F.col("count") / most).cast("int").alias("parts"))  # at most MAX_LISTS rows
         dealt = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
-        packed = dealt.groupBy("list", "part").agg(F.collect_list(F.struct(F.col(key), F.col("vec"))).alias("rows"))
-        return packed.select("list", F.col("part").alias(names[0]), F.col(f"rows.{key}").alias(names[1]), F.col("rows.vec").alias(names[2]))
+        packed = dealt.groupBy("list", "part").agg(F.collect_list(F.struct(key, "vec", *also)).alias("rows"))
+        return packed.select("list", *(F.col(f"rows.{name}").alias(f"{key}_{name}") for name in ("vec", *also)), F.col(f"rows.{key}").alias(key))
 
-    left = blocks(postings, "vec_id", BLOCK_ROWS, ("part", "ids", "vecs"))
-    right = blocks(probed, "query", BLOCK_QUERIES, ("query_part", "queries", "query_vecs"))
+    posted = saved(blocks(postings, "vec_id", BLOCK_ROWS))
     out = arrow_of("query long, vec_id long, score double")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, queries = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("ids", "queries"))
-                x, q = (matrix(batch.column(n)[i].values).astype(np.float64) for n in ("vecs", "query_vecs"))
+                ids, queries, bounds = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("vec_id", "query", "query_bound"))
+                x, q = (matrix(batch.column(n)[i].values).astype(np.float64) for n in ("vec_id_vec", "query_vec"))
                 got: list[tuple] = []
-                for name, vector in zip(queries, q, strict=True):
+                for name, vector, bound in zip(queries, q, bounds, strict=True):
                     d = np.sqrt(((x - vector) ** 2).sum(1))
-                    if len(d) > k + 1:
-                        edge = np.partition(d, k)[k]
-                        near = np.flatnonzero(d <= edge)
-                    else:
-                        near = np.arange(len(d))
+                    near = np.flatnonzero(d <= (min(bound, np.partition(d, k)[k]) if len(d) > k + 1 else bound))
                     near = near[np.lexsort((ids[near], d[near]))][: k + 1]
                     got.append((np.full(len(near), name), ids[near], d[near]))
                 yield record_batch(out, dict(zip(("query", "vec_id", "score"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
 
-    compared = left.join(right, "list").select("ids", "vecs", "queries", "query_vecs").mapInArrow(compare, "query long, vec_id long, score double")
-    once = compared.groupBy("query", "vec_id").agg(F.min("score").alias("score"))  # replicas of one vector
+    def compared(asked: DataFrame) -> DataFrame:
+        joined = posted.join(blocks(asked, "query", BLOCK_QUERIES, "bound"), "list")
+        return joined.select("vec_id", "vec_id_vec", "query", "query_vec", "query_bound").mapInArrow(compare, "query long, vec_id long, score double")
+
+    # the nearest lists give each query a bound; from the others only what is within it is passed on
+    first = saved(compared(probed.where(F.col("place") < FIRST_LISTS).withColumn("bound", F.lit(float("inf")))))
     ordered = Window.partitionBy("query").orderBy("score", "vec_id")
+    ends = first.distinct().withColumn("place", F.row_number().over(ordered)).where(F.col("place") == k + 1).select("query", F.col("score").alias("bound"))
+    rest = probed.where(F.col("place") >= FIRST_LISTS).join(ends, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    once = first.unionByName(compared(rest)).groupBy("query", "vec_id").agg(F.min("score").alias("score"))  # replicas of one vector
     top = once.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k + 1)
     named = distinct.withColumnRenamed("vec", "same").join(top, "query").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("same")), "same")
     mine = Window.partitionBy("query_id").orderBy("score", "vec_id")
