@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
-from . import toxicity
+from . import quality, toxicity
 from .common import held_out_fold, table
 from .langid import fit as fit_languages
 from .langid import identify
@@ -51,6 +52,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "score", "predicted")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Graded ratings from the two labels: 0 poor, 1 good but toxic, 2 good."""
+    poor, toxic = F.col("quality") == 0, F.coalesce(F.col("toxic"), F.lit(0)) > 0
+    return labels.where(F.col("quality").isNotNull()).select("doc_id", F.when(poor, 0).when(toxic, 1).otherwise(2).alias("grade"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.grade(docs, quality.fit(docs, graded(table(spark, sf_dir, "labels"))))
+    return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "expected_grade", "tails", "selected")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
 
@@ -70,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ann": op10_ann,
