@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import arrow_of, named, record_batch, saved, slim
 
 #: Sentences end at ., ! or ? before white space, at line ends, and before a capital (a passage put into running text starts so).
-_BETWEEN = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|(?<=[^\W\d_])\s+(?=[A-ZÀ-ÖØ-Þ])|(?<=,)\s+(?=[A-ZÀ-ÖØ-Þ])")
+_BETWEEN = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
 #: A run has at least MIN_SENTENCES sentences and MIN_WORDS words; a sentence of LONG_SENTENCE words is a run by itself.
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 20, 30
 
