@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_of, held_out_fold, record_batch, slim, unsigned_crc32
 
 #: Documented bounds of the fit: labelled rows of each class that are looked at, and bytes of each dictionary.
-TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_BYTES = 4_000, 8_000, 110_000
+TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_BYTES = 3_000, 6_000, 110_000
 #: Production settings of the compressor and the test: level, shortest match, least log-likelihood ratio, most bytes counted.
 LEVEL, SHORTEST_MATCH, LEAST_RATIO, MOST_SAVED = 9, 5, 9.0, 8
 FRAME = (b"the and that ", b" with this for")
@@ -187,7 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < below)  # about toxic_rows + ordinary_rows ids
     texts = slim(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.pmod(unsigned_crc32(F.col("doc_id").cast("string")), F.lit(4)).alias("fold"))
-    read = [(i, windows_of(text), int(label > 0), fold) for i, text, label, fold in zip(*(c.to_pylist() for c in found.toArrow().columns), strict=True)]
+    known: dict[bytes, bytes] = {}  # equal windows are one object
+    read = []
+    for batch in found.toArrow().to_batches():
+        for i, text, label, fold in zip(*batch.columns, strict=True):
+            words = [known.setdefault(w, w) for w in windows_of(text.as_py())]
+            read.append((i.as_py(), words, int(label.as_py() > 0), fold.as_py()))
     read.sort(key=lambda x: (x[0], x[1]))
     prior = counts[True] / sum(counts.values())
     ordinary, toxic = dictionaries([w for _, w, label, fold in read if label and fold != 3], [w for _, w, label, fold in read if not label and fold != 3])
