@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from . import quality, toxicity
 from .common import held_out_fold, table
+from .decontamination import find_leaks
 from .langid import fit as fit_languages
 from .langid import identify
 from .sentencepiece_bpe import encode_documents
@@ -42,6 +43,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_langid": op2_langid,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
