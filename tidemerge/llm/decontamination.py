@@ -8,6 +8,7 @@ the item's answer, decide; so reworded copies are found as well as verbatim ones
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,12 +20,15 @@ from pyspark.sql import functions as F
 from .common import arrow_of, record_batch, saved, slim
 from .word_hashes import hashed, slices
 
-#: Buckets of words (latent space), its dimensions, words of a passage, and the buckets of a block of summed rows.
-BUCKETS, RANK, PASSAGE, BLOCK = 1 << 15, 64, 64, 1024
-#: Words in over this share of passages carry no topic and are left out of the vectors (not of the common subsequences).
-COMMON = 0.1
+#: Buckets of words (latent space), its dimensions, the leading ones left out (they tell languages and much-copied texts
+#: apart, not passages), words of a passage, and the buckets of a block of summed rows.
+BUCKETS, RANK, LEADING, PASSAGE, BLOCK = 1 << 15, 96, 8, 64, 1024
+#: Words in over this share of passages (and over COMMON_LEAST passages) are left out of the vectors, not of the common
+#: subsequences. An item of which they are over COMMON_ITEM is itself frequent in the corpus or has few rare words: its vector
+#: would say little, so it is looked for directly, by counting its words in each window.
+COMMON, COMMON_LEAST, COMMON_ITEM = 0.005, 50, 0.8
 #: Windows start every STEP words and have WINDOWS words; an item is looked for in the shortest windows that can hold it.
-STEP, WINDOWS = 12, (24, 48)
+STEP, WINDOWS = 16, (32, 48, 64)
 #: Items with fewer words can't be told from ordinary text. Items are sent to the executors in blocks of at most so many.
 LEAST_WORDS, ITEM_BLOCK = 8, 4096
 
@@ -44,7 +48,7 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their words one after another, words of each row), of about ``limit`` bytes."""
     for batch in batches:
         for part in slices(batch, "words", limit):
@@ -69,8 +73,8 @@ def passage_frequencies(words: DataFrame) -> tuple[int, np.ndarray]:
             if len(codes):
                 own = passages(counts, PASSAGE)
                 total += int(own[-1]) + 1
-                pairs = np.unique(own * BUCKETS + (codes & (BUCKETS - 1)))
-                hits += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+                pairs = np.sort(own * BUCKETS + (codes & (BUCKETS - 1)))
+                hits += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] % BUCKETS, minlength=BUCKETS)
         some = np.flatnonzero(hits)
         yield record_batch(target, {"bucket": np.append(some, -1).astype(np.int32), "hits": np.append(hits[some], total)})
 
@@ -87,7 +91,7 @@ def passage_frequencies(words: DataFrame) -> tuple[int, np.ndarray]:
 
 def weights_of(total: int, hits: np.ndarray) -> np.ndarray:
     """Inverse passage frequencies; 0 for common and for unknown buckets."""
-    return np.where((hits > 0) & (hits <= max(COMMON * total, 1)), np.log((total + 1) / (hits + 0.5)), 0).clip(0).astype(np.float32)
+    return np.where((hits > 0) & (hits <= max(COMMON * total, COMMON_LEAST)), np.log((total + 1) / (hits + 0.5)), 0).clip(0).astype(np.float32)
 
 
 def test_matrix(seed: int = 17) -> np.ndarray:
@@ -105,20 +109,20 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
-        random, total = test_matrix() * w[:, None], np.zeros((RANK, BUCKETS))
+        random, total = np.ascontiguousarray((test_matrix() * w[:, None]).T), np.zeros((RANK, BUCKETS))
         for _, codes, counts in groups_of(batches):
             own, bucket = passages(counts, PASSAGE), codes & (BUCKETS - 1)
             kept = w[bucket] > 0
-            own, bucket = own[kept], bucket[kept]
+            own, bucket = own[kept], bucket[kept].astype(np.intp)
             if not len(own):
                 continue
             begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            y = np.add.reduceat(random[bucket], begins, axis=0)
-            norm = np.sqrt(np.add.reduceat(w[bucket] ** 2, begins))[:, None]  # passages count alike
-            y, at = y / norm**2, np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(own))))
+            scale = 1 / np.add.reduceat(w[bucket] ** 2, begins)  # passages count alike
+            at = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(own))))
             for k in range(RANK):
-                total[k] += np.bincount(bucket, y[at, k], minlength=BUCKETS)
-        total = (total * w).T.astype(np.float64)
+                y = np.add.reduceat(random[k].take(bucket), begins) * scale
+                total[k] += np.bincount(bucket, y.take(at), minlength=BUCKETS)
+        total = (total * w).T
         for k in range(0, BUCKETS, BLOCK):
             yield record_batch(target, {"block": [k // BLOCK], "part": [total[k : k + BLOCK].astype(np.float32).tobytes()]})
 
@@ -145,17 +149,22 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
     u, s, _ = np.linalg.svd(g @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     basis = np.zeros((BUCKETS, RANK), np.float32)
     basis[:, : len(s)] = weights[:, None] * u / np.maximum(s, s[0] * 1e-6)
-    return basis
+    if len(s) > 2 * LEADING:
+        basis[:, :LEADING] = 0
+    # words count by their weight alone: those of much-copied texts would else outweigh all others
+    return basis * (weights / np.maximum(np.sqrt((basis**2).sum(1)), 1e-30))[:, None]
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, words, the place where the answer starts, and latent vectors."""
+    """A block of benchmark items: ids, words, the place where the answer starts, latent vectors, and which are looked for directly."""
 
     ids: np.ndarray
     words: list[np.ndarray]
     answers: list[int]
     latent: np.ndarray
+    direct: np.ndarray
+    times: list[Counter]
 
 
 def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -187,10 +196,10 @@ def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
     return length, used
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.42, least_common: float = 0.6, least_answer: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.65, least_common: float = 0.6, least_answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer): documents that hold a benchmark item, one row for each such pair.
 
-    cosine: the best window's, at least ``cosine``. common: words of the longest common subsequence of item and the text around
+    cosine: the best window's, at least ``cosine`` times the root of the share of the window that the item can fill. common: words of the longest common subsequence of item and the text around
     the window, over the item's words, at least ``least_common``. answer: the share of the item's last quarter (4 words at least)
     within that subsequence, at least ``least_answer``.
 
@@ -215,8 +224,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(_items(part, basis))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            by_dimension = np.ascontiguousarray(sent_basis.value.T)
             for rows, codes, counts in groups_of(batches):
-                yield record_batch(target, _search(rows.column("doc_id").to_pylist(), codes, counts, sent_basis.value, sent.value, cosine, least_common, least_answer))
+                yield record_batch(target, _search(rows.column("doc_id").to_pylist(), codes, counts, by_dimension, sent.value, cosine, least_common, least_answer))
 
         block = words.mapInArrow(run, out_schema)
         found = block if found is None else found.unionByName(block)
@@ -225,7 +235,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def _items(rows: pa.Table, basis: np.ndarray) -> Items:
-    ids, words, answers, latent = [], [], [], []
+    ids, words, answers, latent, direct = [], [], [], [], []
     if rows.num_rows:
         rows = rows.sort_by([("item_id", "ascending"), ("text", "ascending")])
         codes, counts = hashed(rows.column("text").combine_chunks())
@@ -233,12 +243,13 @@ def _items(rows: pa.Table, basis: np.ndarray) -> Items:
         for item, end, n in zip(rows.column("item_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
             own = codes[end - n : end]
             vector = basis[own & (BUCKETS - 1)].sum(0)
-            if n >= LEAST_WORDS and np.linalg.norm(vector) > 0:
+            if n >= LEAST_WORDS:
                 ids.append(item)
                 words.append(own)
                 answers.append(n - min(n, max(4, n // 4)))
-                latent.append(vector / np.linalg.norm(vector))
-    return Items(np.array(ids, np.int64), words, answers, np.array(latent, np.float32).reshape(-1, RANK))
+                latent.append(vector / max(float(np.linalg.norm(vector)), 1e-30))
+                direct.append((basis[own & (BUCKETS - 1)] == 0).all(1).mean() > COMMON_ITEM)
+    return Items(np.array(ids, np.int64), words, answers, np.array(latent, np.float32).reshape(-1, RANK), np.array(direct, bool), [Counter(w.tolist()) for w in words])
 
 
 def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndarray, items: Items, cosine: float, least_common: float, least_answer: float) -> dict:
@@ -250,12 +261,12 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
     steps = np.cumsum(-(-counts // STEP))  # windows are made of steps; those of a document end at steps[document]
     step = passages(counts, STEP)
     starts = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
-    sums = np.add.reduceat(basis[codes & (BUCKETS - 1)], starts, axis=0)
+    sums = _sums(basis, codes, starts)
     doc_of = np.searchsorted(steps, np.arange(len(sums)), "right")
     sizes, best = np.array([len(w) for w in items.words]), {}
     for k, size in enumerate(WINDOWS):
         last = k == len(WINDOWS) - 1
-        mine = np.flatnonzero((sizes <= size) & (sizes > (WINDOWS[k - 1] if k else 0)) | last & (sizes > size))
+        mine = np.flatnonzero(~items.direct & ((sizes <= size) & (sizes > (WINDOWS[k - 1] if k else 0)) | last & (sizes > size)))
         if not len(mine):
             continue
         window = sums.copy()
@@ -264,10 +275,18 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
             window[inside] += sums[inside + more]
         norm = np.sqrt((window**2).sum(1))
         window /= np.maximum(norm, 1e-30)[:, None]
+        least = (cosine * np.sqrt(np.minimum(1, sizes[mine] / size))).astype(np.float32)
         for a in range(0, len(window), 8192):
             similar = window[a : a + 8192] @ items.latent[mine].T
-            for w, i in zip(*np.nonzero(similar >= cosine), strict=True):
+            for w, i in zip(*np.nonzero(similar >= least), strict=True):
                 _compare(int(a + w), int(mine[i]), float(similar[w, i]), size, codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
+    for i in np.flatnonzero(items.direct):
+        member = np.zeros(1 << 16, bool)
+        member[items.words[i]] = True
+        sofar = np.append(0, np.cumsum(member[codes]))
+        stop = np.minimum(starts + max(WINDOWS[0], 2 * sizes[i]), (begin + counts)[doc_of])
+        for w in np.flatnonzero(sofar[stop] - sofar[starts] >= least_common * sizes[i]):
+            _compare(int(w), int(i), 1.0, 2 * int(sizes[i]), codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
     for (doc, i), (common, answer, value) in best.items():
         out["doc_id"].append(doc_ids[doc])
         out["item_id"].append(int(items.ids[i]))
@@ -277,13 +296,27 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
     return out
 
 
+def _sums(basis: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The summed vectors of the words of each step. basis: a row for each dimension."""
+    bucket = codes & (BUCKETS - 1)
+    kept = np.flatnonzero(basis.any(0)[bucket])
+    out = np.zeros((len(basis), len(starts)), np.float32)
+    if len(kept):
+        step, bucket = np.searchsorted(starts, kept, "right") - 1, bucket[kept].astype(np.intp)
+        edges = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
+        for k, row in enumerate(basis):
+            out[k, step[edges]] = np.add.reduceat(row.take(bucket), edges)
+    return np.ascontiguousarray(out.T)
+
+
 def _compare(w: int, i: int, value: float, size: int, codes, counts, begin, starts, doc_of, items: Items, best: dict, least_common: float, least_answer: float) -> None:
     """Keep the pair if the text from a little before the window to a little behind it has enough of the item."""
     doc, item = int(doc_of[w]), items.words[i]
     n = len(item)
     low, high = max(begin[doc], starts[w] - max(n - STEP, STEP)), min(begin[doc] + counts[doc], starts[w] + max(size, n) + STEP)
     near = codes[low:high]
-    if np.isin(item, near).sum() < least_common * n:
+    times = items.times[i]
+    if best.get((doc, i), (0.0,))[0] == 1 or sum(map(times.__getitem__, times.keys() & set(near.tolist()))) < least_common * n:
         return
     length, used = common_subsequence(item.tolist(), near)
     common, answer = length / n, float(used[items.answers[i] :].mean())
