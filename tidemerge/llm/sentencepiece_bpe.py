@@ -79,7 +79,7 @@ class PrefixTableBpe:
         self.parts: dict[str, tuple[str, ...]] = {}
         self.units = re.compile(_units_pattern(self.id_of))
         self.limit = memo_units
-        self.memo = _Memo(self.encode_unit, self.byte_id)
+        self.memo = _Memo(self.encode_unit)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, ...]]:
         """A short text's pieces by the definition, and the last two that were joined.
@@ -170,8 +170,8 @@ class PrefixTableBpe:
             return []
         units = self.units.findall(self.prefix + text.replace(" ", MARK))
         ids = list(chain.from_iterable(map(self.memo.__getitem__, units)))
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+        if 2 * len(self.memo) > self.limit:
+            self.memo.age()
         return ids
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
@@ -227,18 +227,25 @@ def _units_pattern(pieces: Iterable[str]) -> str:
 
 
 class _Memo(dict):
-    """Units and their ids. Long units are not kept."""
+    """Units and their ids, in two generations: what isn't met again while the younger fills is forgotten. Long units aren't kept."""
 
-    def __init__(self, encode, byte_id):
+    def __init__(self, encode):
         self.encode = encode
+        self.old: dict[str, tuple[int, ...]] = {}
         super().__init__()
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.encode(unit)
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.encode(unit)
         if len(unit) <= 48:
             self[unit] = ids
         return ids
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 _built: dict[bytes, PrefixTableBpe] = {}
 

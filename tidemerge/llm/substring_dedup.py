@@ -136,3 +136,35 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield record_batch(target, {"doc_id": batch.column("doc_id"), "text": texts, "removed": cuts, "n_removed": counts})
 
     return joined.mapInArrow(run, schema)
+
+
+def rewritten(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in the texts of ``deduplicate``; those of which nothing is left go.
+
+    Where there is a column of lengths, it holds the new text's characters in each row whose text has changed.
+    """
+    whole = docs.select(*(named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)), named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("key"))
+    covers = repeated_runs(whole.select("doc_id", "text", "key")).withColumnRenamed("doc_id", "id").withColumnRenamed("key", "k")
+    joined = whole.join(covers, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("doc_id", "text", "key", "id", "k")
+    at, columns = f"c{docs.columns.index(text_col)}", [f"c{k}" for k in range(len(docs.columns))]
+    size = f"c{docs.columns.index(length_col)}" if length_col in docs.columns else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = batch.column(at).to_pylist(), {}
+            for i, cover in enumerate(batch.column("covers")):
+                if cover.is_valid:
+                    changed[i] = without_sentences(texts[i], [(c["start"], c["length"]) for c in cover.as_py()])[0]
+            texts = [changed.get(i, text) for i, text in enumerate(texts)]
+            arrays = []
+            for c in columns:
+                array = batch.column(c)
+                if c == at:
+                    array = pa.array(texts, array.type)
+                elif c == size and changed:
+                    array = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(array.to_pylist())], array.type)
+                arrays.append(array)
+            yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array([text != "" or i not in changed for i, text in enumerate(texts)], pa.bool_()))
+
+    schema = joined.select(*columns).schema
+    return joined.mapInArrow(run, schema).toDF(*docs.columns)

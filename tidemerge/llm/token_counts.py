@@ -6,6 +6,7 @@ sections it overlaps. A token across a border goes to one section by an explicit
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterable, Iterator
 
@@ -46,61 +47,69 @@ def attributed(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, lengt
     return out
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", rule: str = "most") -> DataFrame:
+def char_spans(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character spans [start, end) of consecutive tokens of ``sizes`` bytes; a token holding a part of a character covers it all."""
+    sofar = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
+    ends = np.cumsum(sizes)
+    return sofar[ends - sizes] - 1, sofar[ends - 1]
+
+
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", rule: str = "most") -> DataFrame:
     """One row per section: doc_id, section (from 0), start, end (characters), n_tokens, crossing (its tokens that cross a border), doc_tokens.
 
-    The tokens of a document's sections add up to doc_tokens. Null and empty texts have one section without tokens. Texts are
-    encoded whole, whatever their length; strings of special tokens are ordinary text. Rows with equal ids are counted row by
-    row; other columns are ignored. The tokenizer file is read by the driver and sent once (a few megabytes; checked).
+    ranks_path, pattern: a byte-level BPE vocabulary (base64 bytes and rank, line by line) and its word pattern. The tokens of a
+    document's sections add up to doc_tokens. Null and empty texts have one section without tokens. Texts are encoded whole,
+    whatever their length; strings of special tokens are ordinary text. Rows with equal ids are counted row by row; other columns
+    are ignored. The vocabulary is read by the driver and sent once (about a megabyte; its size is checked).
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    with open(tokenizer_path, encoding="utf-8") as file:
+    with open(ranks_path, "rb") as file:
         content = file.read()
     if len(content) > 64 << 20:
-        raise ValueError("the tokenizer file is too large to be sent to every executor")
-    sent = docs.sparkSession.sparkContext.broadcast(content)
+        raise ValueError("the vocabulary is too large to be sent to every executor")
+    sent = docs.sparkSession.sparkContext.broadcast((content, pattern))
     schema = "doc_id long, section int, start int, end int, n_tokens int, crossing int, doc_tokens long"
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared_tokenizer(sent.value)
+        encode, size_of = shared_tokenizer(*sent.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                out: dict[str, list] = {f.name: [] for f in target}
-                for doc_id, text, encoded in zip(part.column("doc_id").to_pylist(), texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                    spans = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+                lengths = []
+                for text in part.column("text"):
+                    text = text.as_py() or ""
+                    ids = np.array(encode(text), np.int64)
+                    starts, ends = char_spans(text.encode(), size_of[ids])
                     sections = np.array(paragraphs_of(text), np.int64)
-                    place = attributed(spans[:, 0], spans[:, 1], sections, len(text), rule)
-                    crosses = np.searchsorted(sections, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - np.searchsorted(sections, spans[:, 0], "right") > 0
+                    place = attributed(starts, ends, sections, len(text), rule)
+                    crosses = np.searchsorted(sections, np.maximum(ends - 1, starts), "right") > np.searchsorted(sections, starts, "right")
                     n = len(sections)
-                    out["doc_id"] += [doc_id] * n
-                    out["section"] += range(n)
-                    out["start"] += sections.tolist()
-                    out["end"] += [*sections[1:].tolist(), len(text)]
-                    out["n_tokens"] += np.bincount(place, minlength=n).tolist()
-                    out["crossing"] += np.bincount(place[crosses], minlength=n).tolist()
-                    out["doc_tokens"] += [len(spans)] * n
-                yield record_batch(target, out)
+                    lengths.append(n)
+                    columns = np.arange(n), sections, np.append(sections[1:], len(text)), np.bincount(place, minlength=n), np.bincount(place[crosses], minlength=n), np.full(n, len(ids))
+                    for column, value in zip(parts, columns, strict=True):
+                        column.append(value)
+                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), lengths)))
+                yield record_batch(target, {"doc_id": ids} | {f.name: np.concatenate(c) for f, c in zip(list(target)[1:], parts, strict=True)})
 
     return slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-_tokenizers: dict[int, object] = {}
-
+_tokenizers: dict[int, tuple] = {}
 
-def shared_tokenizer(content: str):
-    """One tokenizer for each worker process, on one thread."""
-    import os
 
-    key = hash(content)
+def shared_tokenizer(content: bytes, pattern: str) -> tuple:
+    """(encoder of a text, bytes of each token): one for each worker process."""
+    key = hash((content, pattern))
     if key not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
         _tokenizers.clear()
-        _tokenizers[key] = tokenizer = Tokenizer.from_str(content)
-        tokenizer.encode_special_tokens = True
+        _tokenizers[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
     return _tokenizers[key]

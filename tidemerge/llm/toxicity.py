@@ -223,6 +223,19 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _scorer(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([one(x.as_py()) < threshold for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _scorers: dict[tuple, object] = {}
 
 
