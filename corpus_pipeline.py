@@ -1,10 +1,70 @@
-"""A training-corpus pipeline in stages, each written as Parquet and read again as the next one's documents."""
+"""A training-corpus pipeline in stages, each written as Parquet and read again as the next one's documents.
+
+In order: toxic documents go, one document of each group of near copies stays, repeated sentence runs are cut from all but their
+first place, documents that hold benchmark items go, and the rest is encoded into pieces.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemerge.llm import toxicity
+from tidemerge.llm.common import table
+from tidemerge.llm.decontamination import find_leaks
+from tidemerge.llm.near_copies import keep_one
+from tidemerge.llm.queries import piece_model
+from tidemerge.llm.sentencepiece_bpe import encode_documents
+from tidemerge.llm.substring_dedup import rewritten
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic by compression distance go; all others stay as they are."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with five-word shingles at least 0.8 similar, linked ones form a group; that of the smallest id stays."""
+    return keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of repeated runs are cut; a document of which nothing is left goes."""
+    return rewritten(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go. A document without id can't be told by its id, and stays."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of each document."""
+    return encode_documents(docs, piece_model()).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", encode),
+]
+
+#: Dictionaries, fingerprints and pieces can't be said in SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared checkpoint folder and read again."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-"))
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{context.getCheckpointDir()}/pipeline-{spark._jvm.java.util.UUID.randomUUID()}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs
