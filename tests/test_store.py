@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from tables import rows
 
 from tidemerge.plans.engine import Store
 from tidemerge.plans.queries import SCRIPT

@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from tables import rows
 from pyspark.sql import functions as F
 
 from tidemerge.schema import CHANGE
