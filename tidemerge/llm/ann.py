@@ -3,7 +3,7 @@
 Centroids are fitted on the driver to a bounded sample and kept near one size by splitting large clusters. Every vector is
 indexed: in its nearest centroid's list and, if near a boundary, in further lists (replicas), leaving out lists that lie in the
 direction of one already taken. A query finds its centroids by best-first search in an in-memory neighbour graph, keeps the
-lists whose centroid is at most ``probe_ratio`` times as far as the nearest one, and is compared with all vectors of these lists
+lists whose centroid is at most ``probe_ratio`` times as far as the nearest one (and LEAST_LISTS in any case), and is compared with all vectors of these lists
 in double precision. Lists are cut into parts of bounded size, so a hot list spreads over many tasks.
 """
 
@@ -21,8 +21,8 @@ from .common import arrow_of, record_batch, saved, slim
 
 #: Documented bounds: sampled vectors that centroids are fitted to, centroids, vectors and queries of a block.
 SAMPLE_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4096, 512, 128
-#: Lists that a query is compared with first, for a bound on its k-th distance.
-FIRST_LISTS = 4
+#: Lists that a query is compared with first, for a bound on its k-th distance, and lists that it is compared with at least.
+FIRST_LISTS, LEAST_LISTS = 4, 16
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ class CentroidGraph:
                 heapq.heappop(best)
             add(self.links[i])
         done.sort()
-        return np.array([i for d, i in done if d <= ratio * nearest], np.int64)
+        return np.array([i for k, (d, i) in enumerate(done) if d <= ratio * nearest or k < LEAST_LISTS], np.int64)
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -116,7 +116,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_modulus: int = 100, k: int = 10,
-    list_rows: int = 128, replicas: int = 4, boundary_ratio: float = 1.05, probe_ratio: float = 1.24, beam: int = 24, sample_rows: int = SAMPLE_ROWS,
+    list_rows: int = 128, replicas: int = 4, boundary_ratio: float = 1.05, probe_ratio: float = 1.3, beam: int = 24, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, nearest first, ties to the smaller id.
 
