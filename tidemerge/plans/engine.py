@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import lookup, memory
 from ..operators.merge import compact, latest, normalised
 from ..schema import MANIFEST, RUN, WRITE_BUFFER_BYTES
-from ..sources import runs as run_files
 from ..sources import wal
 
 
