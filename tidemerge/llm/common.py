@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -37,18 +38,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_batch(df: DataFrame, schema: str, rows_of, arrow_schema: pa.Schema | None = None) -> DataFrame:
-    """``rows_of(batch) -> dict of columns`` over Arrow batches; ``rows_of`` may be a factory's product built per task."""
-    target = arrow_schema or arrow_of(schema)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = rows_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
 def arrow_of(schema: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,6 +49,45 @@ def record_batch(target: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 
 
+_slot: dict[tuple, object] = {}
+
+
+def fresh_worker() -> None:
+    """Give back what an earlier task, of whatever operator, has left in this worker process."""
+    import ctypes
+    import gc
+
+    _slot.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what is built for one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def kept_in_worker(key: tuple, build):
+    """What ``build()`` makes, kept by the worker process for later tasks. A process keeps one such thing, of whatever operator."""
+    if key not in _slot:
+        fresh_worker()
+        _slot[key] = build()
+    return _slot[key]
+
+
+#: Rows of keys (some 100 bytes each) up to which a counted table is sent to every executor; larger ones are joined by shuffle.
+SENT_ROWS = 400_000
+
+
+def sent_if_small(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys``, marked to be broadcast if its ``rows`` are few; else left to a shuffled join."""
+    return F.broadcast(keys) if rows <= SENT_ROWS else keys
+
+
 def unsigned_crc32(text: Column) -> Column:
     """CRC-32 of the UTF-8 bytes, unsigned."""
     return F.crc32(text.cast("binary"))

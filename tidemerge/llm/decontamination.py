@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, record_batch, saved, slim
+from .common import arrow_of, fresh_worker, record_batch, saved, slim
 from .word_hashes import hashed, slices
 
 #: Buckets of words (latent space), its dimensions, the leading ones left out (they tell languages and much-copied texts
@@ -38,6 +38,7 @@ def coded(docs: DataFrame) -> DataFrame:
     target = arrow_of("doc_id long, words binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for part in slices(batch):
                 h, counts = hashed(part.column("text"))
@@ -50,6 +51,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
 def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their words one after another, words of each row), of about ``limit`` bytes."""
+    fresh_worker()
     for batch in batches:
         for part in slices(batch, "words", limit):
             rows = part.column("words").to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, named, record_batch, saved, slim
+from .common import arrow_of, fresh_worker, named, parts, record_batch, saved, sent_if_small, slim
 from .components import connected_components
 from .simhash import Covering, shingles_of, words_of
 
@@ -42,17 +42,19 @@ def wide_fingerprint(words: list[bytes]) -> bytes:
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
-    """(node, k1, k2, low, fp), saved: each distinct text, its smallest id and its wide fingerprint."""
+    """(node, k1, k2, low, times, fp), saved: each distinct text, its smallest id, rows with both, and its wide fingerprint."""
     schema = "doc_id long, k1 long, k2 long, fp binary"
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        fresh_worker()
+        for batch in parts(batches, 2000):
             prints = [wide_fingerprint(words_of(x.as_py())) for x in batch.column("text")]
             yield record_batch(target, {"doc_id": batch.column("doc_id"), "k1": batch.column("_k1"), "k2": batch.column("_k2"), "fp": prints})
 
     marks = keyed(docs, "text").select("doc_id", "text", "_k1", "_k2").mapInArrow(run, schema)
-    once = marks.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"))
+    rows = marks.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("times"), F.first("fp").alias("fp"))
+    once = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min_by("times", F.coalesce("doc_id", F.lit(1 << 62))).alias("times"), F.first("fp").alias("fp"))
     return saved(once.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -61,15 +63,14 @@ def _anchored(nodes: DataFrame, everywhere: bool) -> DataFrame:
     target = arrow_of("anchor long, node long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         code = Covering(WIDTH)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
-                node = batch.column("node").to_numpy(zero_copy_only=False)
-                values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u4").reshape(-1, BLOCKS).astype(np.uint64)
-                for k in range(BLOCKS):
-                    at, anchor = code.within_two(values[:, k]) if everywhere else (np.arange(len(node)), code.home(values[:, k]))
-                    yield record_batch(target, {"anchor": (anchor * np.uint64(BLOCKS) + np.uint64(k)).view(np.int64), "node": node[at]})
+        for batch in parts(batches, 4096):
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u4").reshape(-1, BLOCKS).astype(np.uint64)
+            for k in range(BLOCKS):
+                at, anchor = code.within_two(values[:, k]) if everywhere else (np.arange(len(node)), code.home(values[:, k]))
+                yield record_batch(target, {"anchor": (anchor * np.uint64(BLOCKS) + np.uint64(k)).view(np.int64), "node": node[at]})
 
     return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long")
 
@@ -82,7 +83,8 @@ def _shingles(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        fresh_worker()
+        for batch in parts(batches):
             out = []
             for text in batch.column("text"):
                 found = shingles_of(words_of(text.as_py()), size)
@@ -90,7 +92,8 @@ def _shingles(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -
             yield record_batch(target, {"node": batch.column("node"), "shingles": out})
 
     some = nodes.join(wanted, "node", "left_semi").select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "low")
-    texts = keyed(docs, "text").join(some, ["_k1", "_k2"]).where(F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
+    some = saved(some)
+    texts = keyed(docs, "text").join(sent_if_small(some, some.count()), ["_k1", "_k2"]).where(F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
     return saved(texts.mapInArrow(run, schema).dropDuplicates(["node"]))
 
 
@@ -103,7 +106,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, lea
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        fresh_worker()
+        for batch in parts(batches):
             out = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
@@ -162,9 +166,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, one of each group of near copies: that of the smallest id (one of them, if its row is repeated)."""
     rows = slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     nodes, roots = _grouped(rows, shingle_words, similarity)
-    placed = nodes.join(roots, "node", "left").select("k1", "k2", "low", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "k1", "k2")).alias("one")).select("one.low", "one.k1", "one.k2")
-    kept = saved(kept.select(F.col("low").alias("_low"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
+    placed = nodes.join(roots, "node", "left").select("k1", "k2", "low", "times", F.coalesce("root", "node").alias("root"))
+    first = F.struct(F.col("low").isNull().alias("last"), "low", "k1", "k2", "times")
+    kept = saved(placed.groupBy("root").agg(F.min(first).alias("one")).select(F.col("one.low").alias("_low"), F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"), F.col("one.times").alias("_times")))
     whole = docs.select(*(named(c) for c in docs.columns), _KEYS[0](named(text_col)).alias("_k1"), _KEYS[1](named(text_col)).alias("_k2"))
-    found = whole.join(kept, ["_k1", "_k2"]).where(named(id_col).cast("long").eqNullSafe(F.col("_low")))
-    return found.dropDuplicates(["_k1", "_k2"]).select(*(named(c) for c in docs.columns))
+    found = whole.join(sent_if_small(kept, kept.count()), ["_k1", "_k2"]).where(named(id_col).cast("long").eqNullSafe(F.col("_low")))
+    columns = [named(c) for c in docs.columns]
+    if kept.where("_times > 1").isEmpty():
+        return found.select(*columns)
+    repeated = found.where("_times > 1").dropDuplicates(["_k1", "_k2"]).select(*columns)
+    return found.where("_times = 1").select(*columns).unionByName(repeated)

@@ -24,7 +24,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_of, record_batch, slim
+from .common import arrow_of, kept_in_worker, parts, record_batch, slim
 
 MARK = "▁"
 LAST = float("inf")
@@ -38,7 +38,7 @@ class PrefixTableBpe:
     model: the bytes of a ``.model`` file. memo_units: units remembered at most (each some 200 bytes).
     """
 
-    def __init__(self, model: bytes, memo_units: int = 500_000):
+    def __init__(self, model: bytes, memo_units: int = 400_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -136,7 +136,7 @@ class PrefixTableBpe:
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
         pairs = self.pairs
-        if len(pairs) > self.limit:
+        if 2 * len(pairs) > self.limit:
             pairs.clear()
         last = ["", *unit]  # a character without a piece stands for itself
         filled = -1
@@ -247,18 +247,6 @@ class _Memo(dict):
         self.clear()
 
 
-_built: dict[bytes, PrefixTableBpe] = {}
-
-
-def shared_table(model: bytes) -> PrefixTableBpe:
-    """One table for each worker process, so that its memo outlives a task."""
-    key = hashlib.sha256(model).digest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = PrefixTableBpe(model)
-    return _built[key]
-
-
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (array, null unless with_ids), decoded (null unless with_ids), ids_sha256, decoded_sha256.
 
@@ -273,10 +261,10 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     target = arrow_of(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared_table(sent.value)
+        table = kept_in_worker(("pieces", hash(sent.value)), lambda: PrefixTableBpe(sent.value))
         gc.disable()  # millions of small tuples without cycles
         try:
-            yield from encoded(table, batches)
+            yield from encoded(table, parts(batches))
         finally:
             gc.enable()
 

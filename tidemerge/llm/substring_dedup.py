@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, named, record_batch, saved, slim
+from .common import arrow_of, fresh_worker, named, parts, record_batch, saved, slim
 
 #: Sentences end at ., ! or ? before white space, at line ends, and before a capital (a passage put into running text starts so).
 _BETWEEN = re.compile(r"(?<=[.!?])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ])")
@@ -66,7 +66,8 @@ def _runs(docs: DataFrame) -> DataFrame:
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        fresh_worker()
+        for batch in parts(batches):
             out: dict[str, list] = {f.name: [] for f in target}
             out["doc_id"], out["key"] = batch.column("doc_id"), batch.column("key")
             for text in batch.column("text"):
@@ -123,17 +124,16 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                texts, cuts, counts = [], [], []
-                for text, cover in zip(batch.column("text"), batch.column("covers"), strict=True):
-                    pairs = [(c["start"], c["length"]) for c in cover.as_py() or []]
-                    kept, cut = without_sentences(text.as_py(), pairs) if pairs else (text.as_py(), [])
-                    texts.append(kept)
-                    cuts.append([{"start": a, "end": b} for a, b in cut])
-                    counts.append(len({i for a, n in pairs for i in range(a, a + n)}))
-                yield record_batch(target, {"doc_id": batch.column("doc_id"), "text": texts, "removed": cuts, "n_removed": counts})
+        fresh_worker()
+        for batch in parts(batches):
+            texts, cuts, counts = [], [], []
+            for text, cover in zip(batch.column("text"), batch.column("covers"), strict=True):
+                pairs = [(c["start"], c["length"]) for c in cover.as_py() or []]
+                kept, cut = without_sentences(text.as_py(), pairs) if pairs else (text.as_py(), [])
+                texts.append(kept)
+                cuts.append([{"start": a, "end": b} for a, b in cut])
+                counts.append(len({i for a, n in pairs for i in range(a, a + n)}))
+            yield record_batch(target, {"doc_id": batch.column("doc_id"), "text": texts, "removed": cuts, "n_removed": counts})
 
     return joined.mapInArrow(run, schema)
 
@@ -150,7 +150,8 @@ def rewritten(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     size = f"c{docs.columns.index(length_col)}" if length_col in docs.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        fresh_worker()
+        for batch in parts(batches):
             texts, changed = batch.column(at).to_pylist(), {}
             for i, cover in enumerate(batch.column("covers")):
                 if cover.is_valid:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, record_batch, slim
+from .common import arrow_of, kept_in_worker, record_batch, slim
 
 #: Rules for a token that overlaps several sections: the one with most of its characters (ties: the first), that of its first character, or of its last.
 RULES = ("most", "first", "last")
@@ -73,11 +73,11 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size_of = shared_tokenizer(*sent.value)
+        encode, size_of = kept_in_worker(("ranks", hash(sent.value)), lambda: tokenizer_of(*sent.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+                columns_of: list[list[np.ndarray]] = [[] for _ in range(6)]
                 lengths = []
                 for text in part.column("text"):
                     text = text.as_py() or ""
@@ -89,27 +89,20 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                     n = len(sections)
                     lengths.append(n)
                     columns = np.arange(n), sections, np.append(sections[1:], len(text)), np.bincount(place, minlength=n), np.bincount(place[crosses], minlength=n), np.full(n, len(ids))
-                    for column, value in zip(parts, columns, strict=True):
+                    for column, value in zip(columns_of, columns, strict=True):
                         column.append(value)
                 ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), lengths)))
-                yield record_batch(target, {"doc_id": ids} | {f.name: np.concatenate(c) for f, c in zip(list(target)[1:], parts, strict=True)})
+                yield record_batch(target, {"doc_id": ids} | {f.name: np.concatenate(c) for f, c in zip(list(target)[1:], columns_of, strict=True)})
 
     return slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-_tokenizers: dict[int, tuple] = {}
+def tokenizer_of(content: bytes, pattern: str) -> tuple:
+    """(encoder of a text, bytes of each token)."""
+    import tiktoken
 
-
-def shared_tokenizer(content: bytes, pattern: str) -> tuple:
-    """(encoder of a text, bytes of each token): one for each worker process."""
-    key = hash((content, pattern))
-    if key not in _tokenizers:
-        import tiktoken
-
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
-        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            sizes[rank] = len(token)
-        _tokenizers.clear()
-        _tokenizers[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
-    return _tokenizers[key]
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes

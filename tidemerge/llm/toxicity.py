@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, held_out_fold, record_batch, slim, unsigned_crc32
+from .common import arrow_of, held_out_fold, kept_in_worker, record_batch, slim, unsigned_crc32
 
 #: Documented bounds of the fit: labelled rows of each class that are looked at, and bytes of each dictionary.
 TOXIC_ROWS, ORDINARY_ROWS, DICTIONARY_BYTES = 3_000, 6_000, 110_000
@@ -49,14 +49,13 @@ class ToxicityModel:
     toxic: bytes
     weights: np.ndarray
     prior: float = 0.0
-    memo_windows: int = 400_000
+    memo_windows: int = 300_000
 
     def scorer(self):
         """A function text -> probability."""
         if not self.toxic:
             return lambda text: self.prior
-        saved, weights, memo = self.savings(), self.weights, None
-        memo = _Memo(saved, self.memo_windows)
+        weights, memo = self.weights, _Memo(self.savings(), self.memo_windows)
 
         def score(text: str | None) -> float:
             out = float(1 / (1 + math.exp(-max(-60.0, min(60.0, float(features(Counter(map(memo.__getitem__, windows_of(text)))) @ weights))))))
@@ -236,13 +235,5 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
     return docs.mapInArrow(run, docs.schema)
 
 
-_scorers: dict[tuple, object] = {}
-
-
 def _scorer(model: ToxicityModel):
-    """One scorer for each worker process, so that its memo outlives a task."""
-    key = (hash(model.toxic), hash(model.ordinary), model.weights.tobytes(), model.prior)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = model.scorer()
-    return _scorers[key]
+    return kept_in_worker(("toxicity", hash(model.toxic), hash(model.ordinary), model.weights.tobytes(), model.prior), model.scorer)
