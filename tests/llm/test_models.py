@@ -31,6 +31,8 @@ def test_language_backs_off_to_shorter_grams():
 def test_language_of_odd_rows(spark, odd, small):
     out = langid.identify(odd, langid.fit(small[0])).collect()
     assert len(out) == 8 and {r.lang_pred for r in out if r.doc_id in (1, 2, 3, 5)} <= {"und"}
+    predict = langid.fit(small[0]).predictor()
+    assert predict("\u00bd \u2167 12 !")[0] == "und" and predict("ba")[0] == "aa"
     nothing = langid.fit(odd.where("lang is null"))
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
     assert langid.identify(odd.limit(0), nothing).count() == 0

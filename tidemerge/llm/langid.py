@@ -7,16 +7,17 @@ A known word is scored by its log frequency in each language. An unknown word fa
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_of, held_out_fold, record_batch, slim
+from .common import arrow_of, held_out_fold, kept_in_worker, parts, record_batch, slim
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Documented bounds of the fit: labelled rows per language, languages, words and grams of each length kept per language.
@@ -40,6 +41,7 @@ class LanguageModel:
     languages: list[str]
     tables: list[dict[str, np.ndarray]]
     memo_words: int = 300_000
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, word: str) -> np.ndarray:
         """Log frequency in each language, less the mean over languages."""
@@ -54,34 +56,38 @@ class LanguageModel:
 
     def predictor(self):
         """A function text -> (language, probability) with a bounded memo of words."""
-        place: dict[str, int] = {}
-        rows = np.zeros((1024, len(self.languages)), np.float32)
+        places = _Places(self.score, len(self.languages))
 
         def predict(text: str | None) -> tuple[str, float]:
-            nonlocal rows
-            counts = Counter(words_of(text))
-            if not counts or not self.languages:
+            words = words_of(text)
+            if not words or not self.languages or not any(map(str.isalpha, text)):
                 return "und", 0.0
-            if len(place) + len(counts) > self.memo_words:
-                place.clear()
-            at = []
-            for word in counts:
-                i = place.get(word)
-                if i is None:
-                    i = place[word] = len(place)
-                    if i >= len(rows):
-                        rows = np.concatenate([rows, np.zeros_like(rows)])
-                    rows[i] = self.score(word)
-                at.append(i)
-            weights = np.fromiter(counts.values(), np.float32, len(counts))
-            mean = weights @ rows[at] / weights.sum()
-            odds = np.exp((mean - mean.max()) * min(float(weights.sum()), 20.0))
+            if len(places) > self.memo_words:
+                places.clear()
+            at = np.array(list(map(places.__getitem__, words)))  # first, for new words may move the rows
+            mean = places.rows[at].mean(0, dtype=np.float64)
+            odds = np.exp((mean - mean.max()) * min(len(words), 20))
             best = int(mean.argmax())  # ties to the first in name order
             return self.languages[best], float(odds[best] / odds.sum())
 
         return predict
 
 
+class _Places(dict):
+    """Words and their row in a growing matrix of scores."""
+
+    def __init__(self, score, languages: int):
+        self.score, self.rows = score, np.zeros((1024, languages), np.float32)
+        super().__init__()
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        if place >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[place] = self.score(word)
+        return place
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on labelled rows outside the held-out fold: a hash sample of about ``sample_rows`` rows a language, whole texts.
 
@@ -147,8 +153,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     target = arrow_of("doc_id long, lang_pred string, score double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = sent.value.predictor()
-        for batch in batches:
+        model = sent.value
+        predict = kept_in_worker(("languages", model.name), model.predictor)
+        for batch in parts(batches, 2000):
             found = [predict(x.as_py()) for x in batch.column("text")]
             yield record_batch(target, {"doc_id": batch.column("doc_id"), "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
 
