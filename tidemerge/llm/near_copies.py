@@ -59,8 +59,8 @@ def _distinct(docs: DataFrame) -> DataFrame:
 
 
 def _anchored(nodes: DataFrame, everywhere: bool) -> DataFrame:
-    """(anchor, node): homes in each block, or all anchors within two bits."""
-    target = arrow_of("anchor long, node long")
+    """(anchor, node, value): homes in each block, or all anchors within two bits; the block's bits."""
+    target = arrow_of("anchor long, node long, value int")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
@@ -70,9 +70,15 @@ def _anchored(nodes: DataFrame, everywhere: bool) -> DataFrame:
             values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u4").reshape(-1, BLOCKS).astype(np.uint64)
             for k in range(BLOCKS):
                 at, anchor = code.within_two(values[:, k]) if everywhere else (np.arange(len(node)), code.home(values[:, k]))
-                yield record_batch(target, {"anchor": (anchor * np.uint64(BLOCKS) + np.uint64(k)).view(np.int64), "node": node[at]})
+                bits = values[:, k].astype(np.uint32).view(np.int32)
+                yield record_batch(target, {"anchor": (anchor * np.uint64(BLOCKS) + np.uint64(k)).view(np.int64), "node": node[at], "value": bits[at]})
 
-    return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long")
+    return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long, value int")
+
+
+def _one_bit(a: str, b: str):
+    """At most one bit between two blocks."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 1
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -125,20 +131,21 @@ def _grouped(docs: DataFrame, shingle_words: int, similarity: float) -> tuple[Da
     """(nodes, roots): the distinct texts, and the group of each that is in one."""
     nodes = _distinct(docs)
     homes = _anchored(nodes, False)
-    hubs = homes.groupBy("anchor").agg(F.min("node").alias("hub"))
-    members = saved(_anchored(nodes, True).join(hubs.hint("merge"), "anchor").where(F.col("node") != F.col("hub")).select("anchor", "node", "hub"))
-    stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = homes.groupBy("anchor").agg(F.min("node").alias("hub"), F.min_by("value", "node").alias("hub_value"))
+    members = saved(_anchored(nodes, True).join(hubs.hint("merge"), "anchor").where(F.col("node") != F.col("hub")))
+    stars = members.where(_one_bit("value", "hub_value")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     tested = _similar(stars, docs, nodes, shingle_words, similarity)
     edges = tested.where("alike").select("a", "b")
     roots = saved(connected_components(edges))
     # what the hubs didn't join: pairs of a home and a member at one anchor, of different groups, not compared so far
-    labelled = members.join(roots, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root"))
+    labelled = members.join(roots, "node", "left").select("anchor", "node", "value", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
     left = saved(labelled.join(mixed, "anchor"))
     right = left.join(homes, ["anchor", "node"], "left_semi")
-    x, y = left.select("anchor", F.col("node").alias("x"), F.col("root").alias("xr")), right.select("anchor", F.col("node").alias("y"), F.col("root").alias("yr"))
-    rest = x.join(y.hint("merge"), "anchor").where(F.col("xr") != F.col("yr")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x, y = (t.select("anchor", F.col("node").alias(n), F.col("root").alias(f"{n}r"), F.col("value").alias(f"{n}v")) for t, n in ((left, "x"), (right, "y")))
+    close = (F.col("xr") != F.col("yr")) & _one_bit("xv", "yv")
+    rest = x.join(y.hint("merge"), "anchor").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = saved(rest.join(stars, ["a", "b"], "left_anti"))
     more = _similar(rest, docs, nodes, shingle_words, similarity).where("alike").select("a", "b")
     if not more.isEmpty():
