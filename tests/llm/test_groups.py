@@ -124,6 +124,41 @@ def test_near_copies_equal_brute_force(spark, small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({groups.find(i) for i in sets})
 
 
+def test_near_copies_with_added_passages(spark):
+    rng = random.Random(21)
+    common = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    docs, least = [], {}
+    for i in range(240):
+        text, other = (rng.choices(common, k=n) for n in (300, 80))
+        extra = other[: round(300 / (0.81, 0.85, 0.9, 0.95)[i % 4]) - 300]
+        at = (300, 0, rng.randrange(20, 280))[i % 3]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:at] + extra + text[at:]))]
+        x, y = (set(shingles_of(words_of(t), 5)) for _, t in docs[-2:])
+        least[2 * i + 1] = 2 * i if len(x & y) >= 0.8 * len(x | y) else 2 * i + 1
+    assert sum(a != b for a, b in least.items()) > 200
+    got = dict(rows(near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string"))))
+    assert {i: got[i] for i in least} == least
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 4000])
+def test_near_copies_of_one_large_group_equal_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr("tidemerge.llm.near_copies.BLOCK_BYTES", block_bytes)
+    rng, docs = random.Random(23), []
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(120)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(120)] = f"w{rng.randrange(1000)}"
+        docs.append((i, " ".join(words)))
+    sets = {i: set(shingles_of(words_of(x), 5)) for i, x in docs}
+    groups = Union(sets)
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                groups.join(a, b)
+    assert dict(rows(near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string")))) == {i: groups.find(i) for i in sets}
+
+
 def test_one_of_repeated_rows_stays(spark, odd):
     kept = keep_one(odd).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "None"] and len(kept[0]) == 4

@@ -1,9 +1,9 @@
-"""Groups of near copies: SimHash candidates by anchor-point covering, decided by the similarity of word shingles.
+"""Groups of near copies: MinHash candidates, decided by the similarity of word shingles.
 
-A wide fingerprint (SimHash over the set of words) is cut into blocks. Texts whose shingles are similar agree, but for one bit at
-most, in at least one block with near certainty; such pairs meet at an anchor (see ``simhash``). The exact Jaccard similarity of
-their sets of word shingles then decides. At each anchor all first meet one hub, which takes as many comparisons as texts;
-only texts that are still in different groups after that are compared in pairs.
+A text's shingles give BANDS band hashes, each of ROWS minima. Two texts of similarity s agree in a band with probability s^ROWS,
+whatever was changed and wherever: at 0.8 all bands fail for 5 in a million pairs, above for fewer. Texts of a band hash first meet
+one hub, which takes as many comparisons as texts; those that are still in different groups after that are compared in blocks, a
+text of a block being one row. The exact Jaccard similarity of the sets of word shingles decides everywhere.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_of, fresh_worker, named, parts, record_batch, saved, sent_if_small, slim
 from .components import connected_components
-from .simhash import Covering, shingles_of, words_of
+from .simhash import shingles_of, words_of
 
-#: Blocks of the wide fingerprint, of WIDTH bits each.
-BLOCKS, WIDTH = 8, 32
+#: Bands of a signature, minima of a band, and the bytes of shingles of a block of texts that are compared with each other.
+BANDS, ROWS, BLOCK_BYTES = 40, 6, 1 << 22
 _KEYS = (F.xxhash64, lambda text: F.hash(text).cast("long") * F.lit(1 << 31) + F.coalesce(F.octet_length(text), F.lit(-1)))
 
 
@@ -29,27 +29,44 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*docs.columns, _KEYS[0](F.col(text)).alias("_k1"), _KEYS[1](F.col(text)).alias("_k2"))
 
 
-def wide_fingerprint(words: list[bytes]) -> bytes:
-    """A bit for each of BLOCKS x WIDTH: 1 if set in over half the hashes of the distinct words."""
-    import xxhash
+def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
+    """What the shingles' hashes are mixed with, and multiplied by, for each minimum."""
+    rng = np.random.default_rng(29)
+    seeds, factors = rng.integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+    return seeds, factors | np.uint64(1)
 
-    own = set(words)
-    if not own:
-        return bytes(BLOCKS * WIDTH // 8)
-    hashes = b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in own])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(own), -1), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * bits > len(own)).tobytes()
 
+def band_hashes(words: list[bytes], size: int, functions: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """BANDS 64-bit hashes, each of a band of ROWS minima over the shingles; without words the hashes of zeros."""
+    import xxhash
 
-def _distinct(docs: DataFrame) -> DataFrame:
-    """(node, k1, k2, low, times, fp), saved: each distinct text, its smallest id, rows with both, and its wide fingerprint."""
+    lows = np.zeros(BANDS * ROWS, np.uint64)
+    if words:
+        if len(words) < size:
+            mixed = np.array([xxhash.xxh64_intdigest(shingles_of(words, size)[0])], np.uint64)
+        else:
+            own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+            mixed = np.zeros(len(words) - size + 1, np.uint64)
+            for k in range(size):
+                mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(mixed)]
+                mixed ^= mixed >> np.uint64(29)
+            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(31)
+        seeds, factors = functions
+        lows = np.min([((mixed[k : k + 1024] ^ seeds) * factors).min(1) for k in range(0, len(mixed), 1024)], axis=0)
+    return b"".join(xxhash.xxh64_digest(band.tobytes(), k) for k, band in enumerate(lows.reshape(BANDS, ROWS)))
+
+
+def _distinct(docs: DataFrame, size: int) -> DataFrame:
+    """(node, k1, k2, low, times, fp), saved: each distinct text, its smallest id, rows with both, and its band hashes."""
     schema = "doc_id long, k1 long, k2 long, fp binary"
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
+        functions = _hash_functions()
         for batch in parts(batches, 2000):
-            prints = [wide_fingerprint(words_of(x.as_py())) for x in batch.column("text")]
+            prints = [band_hashes(words_of(x.as_py()), size, functions) for x in batch.column("text")]
             yield record_batch(target, {"doc_id": batch.column("doc_id"), "k1": batch.column("_k1"), "k2": batch.column("_k2"), "fp": prints})
 
     marks = keyed(docs, "text").select("doc_id", "text", "_k1", "_k2").mapInArrow(run, schema)
@@ -58,27 +75,18 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return saved(once.withColumn("node", F.monotonically_increasing_id()))
 
 
-def _anchored(nodes: DataFrame, everywhere: bool) -> DataFrame:
-    """(anchor, node, value): homes in each block, or all anchors within two bits; the block's bits."""
-    target = arrow_of("anchor long, node long, value int")
+def _banded(nodes: DataFrame) -> DataFrame:
+    """(band, node): the band hashes of each text."""
+    schema = "band long, node long"
+    target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        code = Covering(WIDTH)
         for batch in parts(batches, 4096):
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            values = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u4").reshape(-1, BLOCKS).astype(np.uint64)
-            for k in range(BLOCKS):
-                at, anchor = code.within_two(values[:, k]) if everywhere else (np.arange(len(node)), code.home(values[:, k]))
-                bits = values[:, k].astype(np.uint32).view(np.int32)
-                yield record_batch(target, {"anchor": (anchor * np.uint64(BLOCKS) + np.uint64(k)).view(np.int64), "node": node[at], "value": bits[at]})
-
-    return nodes.select("node", "fp").mapInArrow(run, "anchor long, node long, value int")
+            bands = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.int64)
+            yield record_batch(target, {"band": bands, "node": np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)})
 
-
-def _one_bit(a: str, b: str):
-    """At most one bit between two blocks."""
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 1
+    return nodes.select("node", "fp").mapInArrow(run, schema)
 
 
 def _shingles(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -127,27 +135,80 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, lea
     return saved(joined.select("a", "b", "x", "y").mapInArrow(run, schema))
 
 
+def _alike_in_block(band: int, rows: list[dict], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a block's texts that are similar, of different groups, and have no earlier band in common; of two blocks, one of each."""
+    sets = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
+    bands = np.frombuffer(b"".join(r["fp"] for r in rows), np.int64).reshape(-1, BANDS)
+    place = int(np.flatnonzero(bands[0] == band)[0])
+    sizes, roots, own, nodes = np.array([len(x) for x in sets]), np.array([r["root"] for r in rows]), np.array([r["own"] for r in rows]), np.array([r["node"] for r in rows])
+    across = rows[0]["low"] != rows[0]["high"]
+    for i in range(len(rows) - 1):
+        later = slice(i + 1, None)
+        some = (roots[later] != roots[i]) & ((own[later] != own[i]) | (not across))
+        some &= np.minimum(sizes[later], sizes[i]) >= least * np.maximum(sizes[later], sizes[i])
+        some = np.flatnonzero(some) + i + 1
+        some = some[(bands[some, : place + 1] == bands[i, : place + 1]).argmax(1) == place]
+        if not len(some):
+            continue
+        if not sizes[i]:  # no words: as many as it, none
+            yield from ((int(nodes[i]), int(nodes[j])) for j in some)
+            continue
+        found = np.concatenate([sets[j] for j in some])
+        at = np.minimum(np.searchsorted(sets[i], found), sizes[i] - 1)
+        both = np.add.reduceat((sets[i][at] == found).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+        yield from ((int(nodes[i]), int(nodes[j])) for j in some[both >= least * (sizes[i] + sizes[some] - both)])
+
+
+def _alike_in_blocks(left: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b), saved: similar pairs among texts of one band hash and different roots. left: (band, node, root).
+
+    The texts of a band hash are dealt to blocks of about BLOCK_BYTES of shingles; each two blocks, and each by itself, meet in a
+    task, where a text is one row however many it is compared with.
+    """
+    sets = _shingles(docs, nodes, left.select("node").distinct(), size)
+    kept = left.join(sets.withColumn("size", F.octet_length("shingles")), "node")
+    blocks = kept.groupBy("band").agg(F.ceil(F.sum(F.col("size") + BANDS * 8) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = left.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    whole = dealt.join(sets, "node").join(nodes.select("node", "fp"), "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    schema = "a long, b long"
+    target = arrow_of(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
+        block, rows = None, []
+
+        def compared() -> pa.RecordBatch:
+            pairs = list(_alike_in_block(block[0], rows, least)) if len(rows) > 1 else []
+            return record_batch(target, {"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]})
+
+        for batch in batches:
+            for part in parts([batch]):
+                for row in part.to_pylist():
+                    key = row["band"], row["low"], row["high"]
+                    if key != block:
+                        yield compared()
+                        block, rows = key, []
+                    rows.append(row)
+        yield compared()
+
+    return saved(whole.select("band", "low", "high", "own", "node", "root", "shingles", "fp").mapInArrow(run, schema))
+
+
 def _grouped(docs: DataFrame, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(nodes, roots): the distinct texts, and the group of each that is in one."""
-    nodes = _distinct(docs)
-    homes = _anchored(nodes, False)
-    hubs = homes.groupBy("anchor").agg(F.min("node").alias("hub"), F.min_by("value", "node").alias("hub_value"))
-    members = saved(_anchored(nodes, True).join(hubs.hint("merge"), "anchor").where(F.col("node") != F.col("hub")))
-    stars = members.where(_one_bit("value", "hub_value")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = saved(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = _distinct(docs, shingle_words)
+    banded = _banded(nodes).repartition("band")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
+    members = saved(banded.join(hubs.hint("merge"), "band"))
+    stars = saved(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     tested = _similar(stars, docs, nodes, shingle_words, similarity)
-    edges = tested.where("alike").select("a", "b")
-    roots = saved(connected_components(edges))
-    # what the hubs didn't join: pairs of a home and a member at one anchor, of different groups, not compared so far
-    labelled = members.join(roots, "node", "left").select("anchor", "node", "value", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
-    left = saved(labelled.join(mixed, "anchor"))
-    right = left.join(homes, ["anchor", "node"], "left_semi")
-    x, y = (t.select("anchor", F.col("node").alias(n), F.col("root").alias(f"{n}r"), F.col("value").alias(f"{n}v")) for t, n in ((left, "x"), (right, "y")))
-    close = (F.col("xr") != F.col("yr")) & _one_bit("xv", "yv")
-    rest = x.join(y.hint("merge"), "anchor").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = saved(rest.join(stars, ["a", "b"], "left_anti"))
-    more = _similar(rest, docs, nodes, shingle_words, similarity).where("alike").select("a", "b")
+    roots = saved(connected_components(tested.where("alike").select("a", "b")))
+    # what the hubs didn't join: texts of one band hash and of different groups
+    labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).where("low <> high and texts > 2").select("band")
+    left = saved(labelled.join(mixed, "band"))
+    more = _alike_in_blocks(left, docs, nodes, shingle_words, similarity)
     if not more.isEmpty():
         joined = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = saved(connected_components(joined))
