@@ -95,6 +95,26 @@ def test_an_item_in_very_many_documents_is_found(spark):
     assert {r.doc_id for r in got.collect()} == {i for i in range(900) if i % 3 == 0}
 
 
+def test_copies_that_keep_only_common_words_are_found(spark):
+    rng = random.Random(8)
+    common = prose(rng, 150).split()
+    rare = [f"rare{k}" for k in range(3000)]
+    docs = [(i, [rng.choice(common if rng.random() < 0.6 else rare) for _ in range(rng.randrange(90, 150))]) for i in range(600)]
+    items, expected = [], set()
+    for i in range(40):
+        n = rng.choice([24, 32, 40])
+        words = [rng.choice(common) if j % 10 < 7 else rng.choice(rare) for j in range(n)]
+        copy = [w if w in common or j % 30 == 9 else rng.choice(rare) for j, w in enumerate(words)]
+        text = docs[13 * i][1]
+        at = rng.randrange(len(text))
+        text[at:at] = copy
+        items.append((i, " ".join(words)))
+        expected.add((13 * i, i))
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_common_subsequences():
     rng = random.Random(6)
     for _ in range(300):

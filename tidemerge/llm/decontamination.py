@@ -2,8 +2,9 @@
 
 Passages of all documents are TF-IDF vectors over hashed words. A distributed randomised SVD of them (one pass over the data:
 a Nystroem range sketch summed over tasks, then a small factorisation) gives a latent space. Sliding windows of the documents
-whose latent vector has a high cosine with a benchmark item are candidates. Longest common subsequences of words, and a check of
-the item's answer, decide; so reworded copies are found as well as verbatim ones.
+whose latent vector has a high cosine with a benchmark item are candidates, and so are, exactly, those that have as many of the
+item's words as the rule asks, common ones included. Longest common subsequences of words, and a check of the item's answer,
+decide; so reworded copies are found as well as verbatim ones.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from .word_hashes import hashed, slices
 BUCKETS, RANK, LEADING, PASSAGE, BLOCK = 1 << 15, 96, 8, 64, 1024
 #: Words in over this share of passages (and over COMMON_LEAST passages) are left out of the vectors, not of the common
 #: subsequences. An item of which they are over COMMON_ITEM is itself frequent in the corpus or has few rare words: its vector
-#: would say little, so it is looked for directly, by counting its words in each window.
+#: would say little. Every item is looked for by counting its words in each window; such an item only so.
 COMMON, COMMON_LEAST, COMMON_ITEM = 0.005, 50, 0.8
 #: Windows start every STEP words and have WINDOWS words; an item is looked for in the shortest windows that can hold it.
 STEP, WINDOWS = 16, (32, 48, 64)
 #: Items with fewer words can't be told from ordinary text. Items are sent to the executors in blocks of at most so many.
-LEAST_WORDS, ITEM_BLOCK = 8, 4096
+LEAST_WORDS, ITEM_BLOCK = 8, 1024
+#: Words over this share of some texts' words are counted apart from others, and no more often than an item has such words.
+FREQUENT = 0.001
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -159,7 +162,9 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, words, the place where the answer starts, latent vectors, and which are looked for directly."""
+    """A block of benchmark items: ids, words, the place where the answer starts, latent vectors, and which are looked for by counting alone.
+
+    member: a row for each word of any item, 1 for the items that have it; row: the row of each word, the first one for others."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -167,6 +172,8 @@ class Items:
     latent: np.ndarray
     direct: np.ndarray
     times: list[Counter]
+    row: np.ndarray
+    member: np.ndarray
 
 
 def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -201,7 +208,8 @@ def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.65, least_common: float = 0.6, least_answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer): documents that hold a benchmark item, one row for each such pair.
 
-    cosine: the best window's, at least ``cosine`` times the root of the share of the window that the item can fill. common: words of the longest common subsequence of item and the text around
+    cosine: that of the window the item was found in. Windows of at least ``cosine`` times the root of the share of the window that
+    the item can fill are tried, and all that have ``least_common`` of the item's words, however low their cosine. common: words of the longest common subsequence of item and the text around
     the window, over the item's words, at least ``least_common``. answer: the share of the item's last quarter (4 words at least)
     within that subsequence, at least ``least_answer``.
 
@@ -251,7 +259,13 @@ def _items(rows: pa.Table, basis: np.ndarray) -> Items:
                 answers.append(n - min(n, max(4, n // 4)))
                 latent.append(vector / max(float(np.linalg.norm(vector)), 1e-30))
                 direct.append((basis[own & (BUCKETS - 1)] == 0).all(1).mean() > COMMON_ITEM)
-    return Items(np.array(ids, np.int64), words, answers, np.array(latent, np.float32).reshape(-1, RANK), np.array(direct, bool), [Counter(w.tolist()) for w in words])
+    row = np.zeros(1 << 16, np.int32)
+    known = np.unique(np.concatenate([np.zeros(0, np.uint16), *words]))
+    row[known] = np.arange(1, len(known) + 1)
+    member = np.zeros((len(known) + 1, len(words)), np.uint8)
+    for i, own in enumerate(words):
+        member[row[own], i] = 1
+    return Items(np.array(ids, np.int64), words, answers, np.array(latent, np.float32).reshape(-1, RANK), np.array(direct, bool), [Counter(w.tolist()) for w in words], row, member)
 
 
 def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndarray, items: Items, cosine: float, least_common: float, least_answer: float) -> dict:
@@ -282,13 +296,10 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
             similar = window[a : a + 8192] @ items.latent[mine].T
             for w, i in zip(*np.nonzero(similar >= least), strict=True):
                 _compare(int(a + w), int(mine[i]), float(similar[w, i]), size, codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
-    for i in np.flatnonzero(items.direct):
-        member = np.zeros(1 << 16, bool)
-        member[items.words[i]] = True
-        sofar = np.append(0, np.cumsum(member[codes]))
-        stop = np.minimum(starts + max(WINDOWS[0], 2 * sizes[i]), (begin + counts)[doc_of])
-        for w in np.flatnonzero(sofar[stop] - sofar[starts] >= least_common * sizes[i]):
-            _compare(int(w), int(i), 1.0, 2 * int(sizes[i]), codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
+    for w, i, size in _counted(items, codes, starts, steps[doc_of], sizes, least_common):
+        window = sums[w : min(w + size // STEP, int(steps[doc_of[w]]))].sum(0)
+        value = float(window @ items.latent[i]) / max(float(np.linalg.norm(window)), 1e-30)
+        _compare(w, i, value, size, codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
     for (doc, i), (common, answer, value) in best.items():
         out["doc_id"].append(doc_ids[doc])
         out["item_id"].append(int(items.ids[i]))
@@ -298,6 +309,48 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
     return out
 
 
+def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, least_common: float) -> Iterator[tuple[int, int, int]]:
+    """(window, item, words of the window) of windows in which at least ``least_common`` of an item's words can be.
+
+    A copy of n words, with words put in or not, may take 2 n (WINDOWS[0] at least), and start anywhere in a window's first step.
+    """
+    row = items.row[codes]
+    often = np.bincount(row, minlength=len(items.member)) > FREQUENT * len(codes)
+    often[0] = False
+    length = -(-np.maximum(WINDOWS[0], 2 * sizes) // STEP) + 1
+    small = np.uint16 if length.max() * STEP < 1 << 16 else np.uint32  # sums may overflow: differences of windows don't
+    totals = []
+    for kept in (np.flatnonzero(often[row]), np.flatnonzero((row > 0) & ~often[row])):
+        total = np.zeros((len(starts) + 1, len(sizes)), small)
+        step = np.searchsorted(starts, kept, "right") - 1
+        edges = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(kept) else kept
+        for a in range(0, len(edges), 512):
+            some = edges[a : a + 512]
+            words = row[kept[some[0] : edges[a + 512] if a + 512 < len(edges) else len(kept)]]
+            total[step[some] + 1] = np.add.reduceat(items.member[words], some - some[0], axis=0, dtype=np.uint8)
+        totals.append(np.cumsum(total, axis=0, dtype=small, out=total))
+    most = np.array([int(often[items.row[w]].sum()) for w in items.words])  # frequent words of each item
+    least = np.ceil(least_common * sizes - 1e-9).astype(np.int32)
+    at, place, bounds = np.arange(len(starts)), np.zeros(len(items.member), np.int64), np.append(starts, len(codes))
+    for n in np.unique(length):
+        mine = np.flatnonzero(length == n)
+        last = np.minimum(at + n, ends)
+        frequent, rare = (t[last][:, mine] - t[:-1, mine] for t in totals)
+        enough = (np.minimum(frequent, most[mine].astype(small)) + rare >= least[mine].astype(small)).T
+        for k in np.flatnonzero(enough.any(1)):
+            # a word counts as often as the item has it
+            i, found = int(mine[k]), np.flatnonzero(enough[k])
+            own, times = np.unique(items.row[items.words[i]], return_counts=True)
+            place[own] = np.arange(1, len(own) + 1)
+            inside = bounds[found, None] + np.arange(int(n) * STEP)
+            words = np.where(inside < bounds[last[found], None], place[row[np.minimum(inside, len(codes) - 1)]], 0)
+            place[own] = 0
+            words += np.arange(len(found))[:, None] * (len(own) + 1)
+            held = np.bincount(words.ravel(), minlength=len(found) * (len(own) + 1)).reshape(len(found), -1)[:, 1:]
+            for w in found[np.minimum(held, times).sum(1) >= least[i]]:
+                yield int(w), i, int(n) * STEP
+
+
 def _sums(basis: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The summed vectors of the words of each step. basis: a row for each dimension."""
     bucket = codes & (BUCKETS - 1)
