@@ -201,6 +201,31 @@ def test_repeats_within_a_document(spark):
     assert out.text == f"{block} Something else here." and out.n_removed == 2
 
 
+@pytest.mark.parametrize("sizes", [(32, 25), (25, 32), (10, 15, 3), (3, 15, 10), (40, 3), (3, 40), (12, 12), (35, 8, 8, 31, 2)])
+def test_every_sentence_of_a_repeated_span_is_cut(spark, sizes):
+    rng = random.Random(5)
+
+    def sentences(*counts):
+        return " ".join(" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)).capitalize() + "." for n in counts)
+
+    passage = sentences(*sizes)
+    docs = [(1, f"{sentences(9, 14)} {passage} {sentences(11, 7)}"), (2, f"{sentences(16, 5)} {passage} {sentences(8, 19)}"), (3, f"{sentences(6)} {passage}"), (4, f"{passage} {sentences(7)}")]
+    out = {r.doc_id: r for r in deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[1].text == docs[0][1] and not out[1].removed
+    for i, text in docs[1:]:
+        assert [text[s.start : s.end].strip() for s in out[i].removed] == [passage] and out[i].n_removed == len(sizes)
+
+
+def test_runs_lie_within_their_span():
+    rng = random.Random(6)
+    for _ in range(300):
+        counts = [rng.choice([1, 3, 8, 12, 20, 29, 30, 45]) for _ in range(rng.randrange(1, 9))]
+        found = runs_of(" ".join(" ".join(["X", *["y"] * (n - 1)]) + "." for n in counts))
+        assert all(n >= 2 and sum(counts[i : i + n]) >= 20 or counts[i] >= 30 for i, n, _ in found) and len({f[:2] for f in found}) == len(found)
+        covered = {k for i, n, _ in found for k in range(i, i + n)}
+        assert covered == (set(range(len(counts))) if sum(counts) >= 20 and len(counts) >= 2 or counts[0] >= 30 else set())
+
+
 def test_shards_are_even_and_gapless(spark, small, odd):
     docs = small[0].select("doc_id", "text").unionByName(small[0].selectExpr("doc_id + 500 AS doc_id", "'same text over and over again' AS text"))
     out = shard_documents(docs, shards=8, slots=256).toPandas()

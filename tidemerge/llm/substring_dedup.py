@@ -1,7 +1,7 @@
 """Substring deduplication by sliding sentence spans.
 
-From each sentence of a document on, the shortest run of consecutive sentences with enough words is hashed. Runs are joined
-over all documents; a run that occurs again keeps its first place (smallest id, then first in the text), and every sentence
+From each sentence of a document on, and back from each, the shortest run of consecutive sentences with enough words is hashed.
+Runs are joined over all documents; a run that occurs again keeps its first place (smallest id, then first in the text), and every sentence
 covered by a later one is removed.
 """
 
@@ -35,7 +35,10 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
 
 
 def runs_of(text: str) -> list[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of the shortest run from each sentence on that is long enough."""
+    """(first sentence, number of sentences, hash), in order: from each sentence on, and up to each, the shortest run long enough.
+
+    So the first and the last sentence of a repeated span, and all between, are in a run that lies within the span.
+    """
     import xxhash
 
     digests, sizes = [], []
@@ -43,21 +46,24 @@ def runs_of(text: str) -> list[tuple[int, int, int]]:
         words = text[a:b].lower().split()
         digests.append(xxhash.xxh64_digest(" ".join(words)))
         sizes.append(len(words))
-    out, end, total = [], 0, 0
-    for i in range(len(digests)):
-        if end < i:
-            end, total = i, 0
-        if sizes[i] >= LONG_SENTENCE:
-            out.append((i, 1, xxhash.xxh64_intdigest(digests[i])))
-        else:
-            while end < len(digests) and (total < MIN_WORDS or end - i < MIN_SENTENCES):
-                total += sizes[end]
-                end += 1
-            if total >= MIN_WORDS and end - i >= MIN_SENTENCES:
-                out.append((i, end - i, xxhash.xxh64_intdigest(b"".join(digests[i:end]))))
-        if end > i:
-            total -= sizes[i]
-    return out
+    spans, end, total = {(i, i + 1) for i, n in enumerate(sizes) if n >= LONG_SENTENCE}, 0, 0
+    for i, n in enumerate(sizes):
+        while end < len(sizes) and (total < MIN_WORDS or end - i < MIN_SENTENCES):
+            total += sizes[end]
+            end += 1
+        if total < MIN_WORDS or end - i < MIN_SENTENCES:
+            break
+        spans.add((i, end))
+        total -= n
+    begin, total = 0, 0
+    for end, n in enumerate(sizes, 1):
+        total += n
+        while end - begin > MIN_SENTENCES and total - sizes[begin] >= MIN_WORDS:
+            total -= sizes[begin]
+            begin += 1
+        if total >= MIN_WORDS and end - begin >= MIN_SENTENCES:
+            spans.add((begin, end))
+    return [(i, k - i, xxhash.xxh64_intdigest(digests[i] if k - i == 1 else b"".join(digests[i:k]))) for i, k in sorted(spans)]
 
 
 def _runs(docs: DataFrame) -> DataFrame:
