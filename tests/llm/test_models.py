@@ -67,9 +67,31 @@ def test_toxicity_of_odd_rows(spark, small, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
-def test_long_words_are_windowed_whole():
+def test_texts_are_windowed_whole():
     word = bytes(97 + k % 26 for k in range(500))
-    assert set().union(*({w[k : k + 16] for k in range(len(w) - 15)} for w in toxicity.windows_of(word.decode()))) == {word[k : k + 16] for k in range(485)}
+    assert set().union(*({w[k : k + 16] for k in range(len(w) - 15)} for w in toxicity.words_of(word.decode()))) == {word[k : k + 16] for k in range(485)}
+    for n in range(1, 20):
+        words = [b"w%d" % k for k in range(n)]
+        assert {w for x in toxicity.windows_of(words, 2) for w in x.split()} == set(words)
+    assert toxicity.windows_of([], 2) == []
+
+
+def test_toxic_phrases_of_ordinary_words():
+    rng = random.Random(17)
+    common = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))).encode() for _ in range(150)]
+    phrases = [[b"gobacktoyour", b"swamp"], [b"nobodywants", b"youhere"], [b"whata", b"wasteofspace"]]
+
+    def text(toxic):
+        words = rng.choices(common, k=rng.randrange(30, 90))
+        for phrase in rng.choices(phrases, k=3 if toxic else 0):
+            words[(at := rng.randrange(len(words))) : at] = phrase
+        return words
+
+    read = [(i, text(i % 4 == 0), int(i % 4 == 0), i % 3 + (i % 3 == 2)) for i in range(600)]
+    model = toxicity.fit_texts(read, 0.25)
+    score = model.scorer()
+    test = [(score(b" ".join(text(k)).decode()) >= 0.3, k) for k in [True, False] * 100]
+    assert model.toxic and np.mean([p == t for p, t in test]) > 0.95
 
 
 def test_quality_of_held_out_documents(spark, small):
@@ -99,9 +121,11 @@ def test_ordinal_fit_finds_ordered_grades():
 def test_quality_of_odd_rows(spark, small, odd):
     assert quality.fit(odd, spark.createDataFrame([(4, 1)], "doc_id long, grade int")) is None
     out = quality.grade(odd, None).collect()
-    assert len(out) == 8 and {r.selected for r in out} == {1}
+    assert len(out) == 8 and {r.selected for r in out if r.doc_id in (1, 2, 3)} == {0} and {r.selected for r in out if r.doc_id in (4, 5, 6)} == {1}
     model = quality.fit(small[0], small[1].selectExpr("doc_id", "quality AS grade"))
-    assert len(quality.grade(odd, model).collect()) == 8 and quality.grade(odd.limit(0), model).count() == 0
+    graded = quality.grade(odd, model).collect()
+    assert len(graded) == 8 and {(r.selected, r.expected_grade, *r.tails) for r in graded if r.doc_id in (1, 2, 3)} == {(0, 0.0, 0.0)}
+    assert quality.grade(odd.limit(0), model).count() == 0
 
 
 def test_word_hashes_equal_words():
