@@ -179,6 +179,25 @@ def plain_removals(docs, run, longest):
     return out
 
 
+def test_clashing_and_dotted_names(spark):
+    rows_in = [(1, "a b c d e f g", 1, 2, "x"), (1, "a b c d e f g", 1, 2, "x"), (2, "a b c d e f g", 3, 4, "y"), (3, "own words of this one text", 5, 6, "z")]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string, _k1 int, _low int, `a.b` string").withColumnsRenamed({"_low": "_times"})
+    out = keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows_in[0], rows_in[3]]
+    assert sorted(map(tuple, rewritten(docs).collect())) == sorted(rows_in)
+
+
+def test_copies_that_fingerprints_link(spark):
+    from tidemerge.llm.near_copies import _distinct, _linked_fingerprints
+
+    rng = random.Random(31)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:1500], "changed", *base[1501:]])), (2, " ".join(base[::-1]))]
+    nodes = _distinct(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text"), 5)
+    of = {r.node: r.low for r in nodes.collect()}
+    assert [{of[r.a], of[r.b]} for r in _linked_fingerprints(nodes, 2).collect()] == [{0, 1}]
+
+
 def test_sentences_and_runs():
     assert [("A b. C d"[a:b]) for a, b in sentences_of("A b. C d")] == ["A b.", "C d"]
     assert sentences_of("") == [] and sentences_of(" \n ") == [] and len(runs_of("short. text.")) == 0
@@ -273,6 +292,23 @@ def test_equal_texts_stay_together_unless_they_are_too_many(spark, small):
     assert (out.groupby("text_crc32")["shard"].nunique() == 1).all()
 
 
+def test_groups_up_to_a_share_stay_whole_and_slots_are_fixed(spark, tmp_path):
+    rng = random.Random(12)
+    docs = [(i, "".join(rng.choices("abcdef ", k=90))) for i in range(900)] + [(1000 + i, "one text that " * 5) for i in range(100)] + [(None, "another text " * 10)] * 400
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = shard_documents(table, shards=10, slots=2048, store=str(tmp_path)).toPandas()
+    assert set(out["map_version"]) == {2} and len(out) == len(docs)
+    assert out[out.doc_id.between(1000, 1099)]["shard"].nunique() == 1 and out[out.doc_id.isna()]["shard"].nunique() > 3
+    sizes = out.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.02 * sizes.mean() and sizes.min() >= 0.98 * sizes.mean()
+    more = shard_documents(table.unionByName(table.where("doc_id < 50").selectExpr("doc_id + 5000 AS doc_id", "concat(text, 'x') AS text")), shards=10, slots=2048, store=str(tmp_path)).toPandas()
+    assert set(more["map_version"]) == {3}
+    both = out.dropna(subset=["doc_id"]).merge(more.dropna(subset=["doc_id"]), on="doc_id")
+    assert (both.virtual_slot_x == both.virtual_slot_y).all() and (both.shard_x == both.shard_y).mean() > 0.8
+    for frame in (out, more):
+        assert all(sorted(s) == list(range(len(s))) for _, s in frame.groupby("shard")["slot"])
+
+
 def test_slot_maps_have_versions(spark, tmp_path):
     rng = random.Random(6)
     sizes = [rng.randrange(50, 150) for _ in range(400)]
@@ -281,6 +317,7 @@ def test_slot_maps_have_versions(spark, tmp_path):
     grown = [s * (3 if i % 10 == 0 else 1) for i, s in enumerate(sizes)]
     second = SlotMap.load(spark, str(tmp_path)).rebalanced(grown, 11)
     second.store(spark, str(tmp_path))
+    second.store(spark, str(tmp_path))
     back = SlotMap.load(spark, str(tmp_path))
     assert back == second and back.version == 2 and SlotMap.load(spark, str(tmp_path), 1) == first
     assert max(back.loads()) <= 1.1 * sum(grown) / 11

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,12 +30,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where(F.col("a") != F.col("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
-        now = saved(
+        last, now = now, saved(
             small.select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(low.select("a", F.col("low").alias("b")))
             .where(F.col("a") != F.col("b"))
             .distinct()
         )
+        dropped(last)
         after = _mark(now)
         if after == before:
             break

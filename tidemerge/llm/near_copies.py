@@ -1,4 +1,8 @@
-"""Groups of near copies: MinHash candidates, decided by the similarity of word shingles.
+"""Groups of near copies, by SimHash first, then by MinHash, decided by the similarity of word shingles.
+
+The texts' SimHash fingerprints are linked by anchor-point covering (``simhash.fingerprint_links``). Two bits of 64 are what such
+links can bridge at scale, which only the closest copies are within: at similarity 0.8 fingerprints differ in some ten bits, and
+anchors for so many would be nearly all of them. The links in between are found by bands of minima.
 
 A text's shingles give BANDS band hashes, each of ROWS minima. Two texts of similarity s agree in a band with probability s^ROWS,
 whatever was changed and wherever: at 0.8 all bands fail for 5 in a million pairs, above for fewer. Texts of a band hash first meet
@@ -15,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, fresh_worker, named, parts, record_batch, saved, sent_if_small, slim
+from .common import arrow_of, dropped, fresh_worker, parts, record_batch, saved, sent_if_small, slim
 from .components import connected_components
-from .simhash import shingles_of, words_of
+from .simhash import fingerprint_links, majority, shingles_of, words_of
 
 #: Bands of a signature, minima of a band, and the bytes of shingles of a block of texts that are compared with each other.
 BANDS, ROWS, BLOCK_BYTES = 40, 6, 1 << 22
@@ -36,11 +40,11 @@ def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
     return seeds, factors | np.uint64(1)
 
 
-def band_hashes(words: list[bytes], size: int, functions: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """BANDS 64-bit hashes, each of a band of ROWS minima over the shingles; without words the hashes of zeros."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, repeats included."""
     import xxhash
 
-    lows = np.zeros(BANDS * ROWS, np.uint64)
+    mixed = np.zeros(0, np.uint64)
     if words:
         if len(words) < size:
             mixed = np.array([xxhash.xxh64_intdigest(shingles_of(words, size)[0])], np.uint64)
@@ -52,26 +56,36 @@ def band_hashes(words: list[bytes], size: int, functions: tuple[np.ndarray, np.n
                 mixed ^= mixed >> np.uint64(29)
             mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
+    return mixed
+
+
+def band_hashes(mixed: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """BANDS 64-bit hashes, each of a band of ROWS minima over the shingles' hashes; without shingles the hashes of zeros."""
+    import xxhash
+
+    lows = np.zeros(BANDS * ROWS, np.uint64)
+    if len(mixed):
         seeds, factors = functions
         lows = np.min([((mixed[k : k + 1024] ^ seeds) * factors).min(1) for k in range(0, len(mixed), 1024)], axis=0)
     return b"".join(xxhash.xxh64_digest(band.tobytes(), k) for k, band in enumerate(lows.reshape(BANDS, ROWS)))
 
 
 def _distinct(docs: DataFrame, size: int) -> DataFrame:
-    """(node, k1, k2, low, times, fp), saved: each distinct text, its smallest id, rows with both, and its band hashes."""
-    schema = "doc_id long, k1 long, k2 long, fp binary"
+    """(node, k1, k2, low, times, fp, sim), saved: each distinct text, its smallest id, rows with both, its band hashes and its SimHash."""
+    schema = "doc_id long, k1 long, k2 long, fp binary, sim long"
     target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
         functions = _hash_functions()
         for batch in parts(batches, 2000):
-            prints = [band_hashes(words_of(x.as_py()), size, functions) for x in batch.column("text")]
-            yield record_batch(target, {"doc_id": batch.column("doc_id"), "k1": batch.column("_k1"), "k2": batch.column("_k2"), "fp": prints})
+            hashes = [shingle_hashes(words_of(x.as_py()), size) for x in batch.column("text")]
+            sims = np.array([majority(h[k : k + (1 << 16)] for k in range(0, len(h), 1 << 16)) for h in hashes], np.uint64).view(np.int64)
+            yield record_batch(target, {"doc_id": batch.column("doc_id"), "k1": batch.column("_k1"), "k2": batch.column("_k2"), "fp": [band_hashes(h, functions) for h in hashes], "sim": sims})
 
     marks = keyed(docs, "text").select("doc_id", "text", "_k1", "_k2").mapInArrow(run, schema)
-    rows = marks.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("times"), F.first("fp").alias("fp"))
-    once = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min_by("times", F.coalesce("doc_id", F.lit(1 << 62))).alias("times"), F.first("fp").alias("fp"))
+    rows = marks.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("times"), F.first("fp").alias("fp"), F.first("sim").alias("sim"))
+    once = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.min_by("times", F.coalesce("doc_id", F.lit(1 << 62))).alias("times"), F.first("fp").alias("fp"), F.first("sim").alias("sim"))
     return saved(once.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -195,23 +209,36 @@ def _alike_in_blocks(left: DataFrame, docs: DataFrame, nodes: DataFrame, size: i
     return saved(whole.select("band", "low", "high", "own", "node", "root", "shingles", "fp").mapInArrow(run, schema))
 
 
-def _grouped(docs: DataFrame, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _linked_fingerprints(nodes: DataFrame, bits: int) -> DataFrame:
+    """(a, b): texts whose SimHash fingerprints are at most ``bits`` apart, each text with one such of a smaller fingerprint, or of its own."""
+    values = nodes.groupBy("sim").agg(F.min("node").alias("hub"))
+    same = nodes.select("sim", "node").hint("merge").join(values, "sim").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    least = fingerprint_links(values.select(F.col("sim").alias("fp")), bits).groupBy("b").agg(F.min("a").alias("a"))
+    near = least.join(values.select(F.col("sim").alias("a"), F.col("hub").alias("x")), "a").join(values.select(F.col("sim").alias("b"), F.col("hub").alias("y")), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _grouped(docs: DataFrame, shingle_words: int, similarity: float, bits: int = 2) -> tuple[DataFrame, DataFrame]:
     """(nodes, roots): the distinct texts, and the group of each that is in one."""
     nodes = _distinct(docs, shingle_words)
     banded = _banded(nodes).repartition("band")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
     members = saved(banded.join(hubs.hint("merge"), "band"))
-    stars = saved(members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    stars = members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = saved(stars.unionByName(_linked_fingerprints(nodes, bits)).distinct())
     tested = _similar(stars, docs, nodes, shingle_words, similarity)
     roots = saved(connected_components(tested.where("alike").select("a", "b")))
     # what the hubs didn't join: texts of one band hash and of different groups
     labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).where("low <> high and texts > 2").select("band")
     left = saved(labelled.join(mixed, "band"))
+    dropped(stars, tested, members)
     more = _alike_in_blocks(left, docs, nodes, shingle_words, similarity)
     if not more.isEmpty():
         joined = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-        roots = saved(connected_components(joined))
+        before, roots = roots, saved(connected_components(joined))
+        dropped(before)
+    dropped(left, more)
     return nodes, roots
 
 
@@ -219,8 +246,9 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, group_id (the smallest doc_id of its group; its own if it has no copies).
 
     Texts are linked if the Jaccard similarity of their sets of word shingles (ASCII lower case, words between white space) is at
-    least ``similarity``; groups are what links connect. Texts without words are copies of each other; a text of fewer words
-    than a shingle is one shingle. Null counts as its own text. Repeated rows get the same group. Empty input gives no rows.
+    least ``similarity``; groups are what links connect. Texts without words, null among them, are copies of each other; a text of
+    fewer words than a shingle is one shingle. Repeated rows get the same group. Rows without id are a group's id only where it has
+    no other. Other columns are ignored. Empty input gives no rows.
     """
     rows = slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     nodes, roots = _grouped(rows, shingle_words, similarity)
@@ -231,16 +259,18 @@ def near_copy_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, one of each group of near copies: that of the smallest id (one of them, if its row is repeated)."""
+    """The rows of ``docs``, with all their columns, one of each group of near copies: that of the smallest id (one of them, if its row is repeated)."""
     rows = slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     nodes, roots = _grouped(rows, shingle_words, similarity)
     placed = nodes.join(roots, "node", "left").select("k1", "k2", "low", "times", F.coalesce("root", "node").alias("root"))
     first = F.struct(F.col("low").isNull().alias("last"), "low", "k1", "k2", "times")
     kept = saved(placed.groupBy("root").agg(F.min(first).alias("one")).select(F.col("one.low").alias("_low"), F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"), F.col("one.times").alias("_times")))
-    whole = docs.select(*(named(c) for c in docs.columns), _KEYS[0](named(text_col)).alias("_k1"), _KEYS[1](named(text_col)).alias("_k2"))
-    found = whole.join(sent_if_small(kept, kept.count()), ["_k1", "_k2"]).where(named(id_col).cast("long").eqNullSafe(F.col("_low")))
-    columns = [named(c) for c in docs.columns]
-    if kept.where("_times > 1").isEmpty():
-        return found.select(*columns)
-    repeated = found.where("_times > 1").dropDuplicates(["_k1", "_k2"]).select(*columns)
-    return found.where("_times = 1").select(*columns).unionByName(repeated)
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    at, place = columns[docs.columns.index(text_col)], columns[docs.columns.index(id_col)]
+    whole = docs.toDF(*columns)
+    found = whole.select(*columns, _KEYS[0](F.col(at)).alias("_k1"), _KEYS[1](F.col(at)).alias("_k2")).join(sent_if_small(kept, kept.count()), ["_k1", "_k2"])
+    found = found.where(F.col(place).cast("long").eqNullSafe(F.col("_low")))
+    if not kept.where("_times > 1").isEmpty():
+        repeated = found.where("_times > 1").dropDuplicates(["_k1", "_k2"])
+        found = found.where("_times = 1").unionByName(repeated)
+    return found.select(*columns).toDF(*docs.columns)

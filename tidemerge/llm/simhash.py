@@ -84,17 +84,21 @@ def shingles_of(words: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(run) for run in zip(*(words[k:] for k in range(size)), strict=False)]
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The 64-bit number whose bits are those set in over half of all values (uint64 arrays); 0 without values."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+
+
 def simhash64(words: list[bytes], size: int) -> int:
-    """A bit is 1 if set in over half the XXH64 (seed 42) values of the shingles; 0 without words."""
+    """The majority of the XXH64 (seed 42) values of the shingles; 0 without words."""
     import xxhash
 
     shingles = shingles_of(words, size)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(shingles), CHUNK):
-        part = shingles[k : k + CHUNK]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in part), np.uint64, len(part))
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles[k : k + CHUNK]), np.uint64, len(shingles[k : k + CHUNK])) for k in range(0, len(shingles), CHUNK))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
