@@ -3,26 +3,27 @@
 Centroids are fitted on the driver to a bounded sample and kept near one size by splitting large clusters. Every vector is
 indexed: in its nearest centroid's list and, if near a boundary, in further lists (replicas), leaving out lists that lie in the
 direction of one already taken. A query finds its centroids by best-first search in an in-memory neighbour graph, keeps the
-lists whose centroid is at most ``probe_ratio`` times as far as the nearest one (and LEAST_LISTS in any case), and is compared with all vectors of these lists
-in double precision. Lists are cut into parts of bounded size, so a hot list spreads over many tasks.
+lists whose centroid is at most ``probe_ratio`` times as far as the nearest one, and is compared with all vectors of these lists in
+double precision. Lists are cut into parts of bounded size, so a hot list spreads over many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_of, record_batch, saved, slim
+from .common import arrow_of, named, record_batch, saved, slim
 
-#: Documented bounds: sampled vectors that centroids are fitted to, centroids, vectors and queries of a block.
-SAMPLE_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4096, 512, 128
-#: Lists that a query is compared with first, for a bound on its k-th distance, and lists that it is compared with at least.
-FIRST_LISTS, LEAST_LISTS = 4, 16
+#: Documented bounds: sampled vectors that centroids are fitted to (at least eight a centroid), vectors and queries of a block.
+SAMPLE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 32_768, 512, 128
+#: Lists that a query is compared with first, for a bound on its k-th distance.
+FIRST_LISTS = 4
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +76,7 @@ class CentroidGraph:
                 heapq.heappop(best)
             add(self.links[i])
         done.sort()
-        return np.array([i for k, (d, i) in enumerate(done) if d <= ratio * nearest or k < LEAST_LISTS], np.int64)
+        return np.array([i for d, i in done if d <= ratio * nearest], np.int64)
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -99,17 +100,16 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int =
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vec) of vectors that take part: no null, non-finite or all-zero ones, and only those of the commonest length."""
-    rows = slim(vectors, vec_id=id_col, vec=vector_col).select(F.col("vec_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"))
+    """(vec_id, vec) of vectors that take part: no null, empty, non-finite or all-zero ones. Components keep their precision: single, or else double."""
+    kind = "float" if vectors.select(named(vector_col)).dtypes[0][1] == "array<float>" else "double"
+    rows = slim(vectors, vec_id=id_col, vec=vector_col).select(F.col("vec_id").cast("long"), F.col("vec").cast(f"array<{kind}>").alias("vec"))
     fine = F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     fine &= F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.where(fine)
-    length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (length.n if length else 0))
+    return rows.where(fine).distinct()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list<float> column without nulls as a matrix."""
+    """A column of lists of numbers, without nulls and all of one length, as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
@@ -121,26 +121,34 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each query, nearest first, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``query_modulus``; candidates all rows but the query's own. score is the
-    Euclidean distance in double precision of the vectors as stored (single-precision components). Vectors that are null, empty,
-    zero or hold null or non-finite components, and those of another length than most, take no part, nor do rows without id.
+    Euclidean distance in double precision of the vectors as stored. Vectors that are null, empty, zero or hold null or non-finite
+    components take no part, nor do rows without id. Vectors of different lengths are searched apart: no distance is defined
+    between them.
     Of equal vectors only the k + 1 smallest ids are indexed: no other copy can be among the k nearest of any query, for ties go
     to smaller ids, so the result is the same. Repeated (id, vector) rows count once. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col).distinct()
+    rows = usable(vectors, id_col, vector_col)
+    lengths = [r.n for r in rows.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]  # vectors of one kind have one length
+    found = [_nearest(rows.where(F.size("vec") == n), query_modulus, k, list_rows, replicas, boundary_ratio, probe_ratio, beam, sample_rows) for n in lengths]
+    return reduce(DataFrame.unionByName, found, vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def _nearest(rows: DataFrame, query_modulus: int, k: int, list_rows: int, replicas: int, boundary_ratio: float, probe_ratio: float, beam: int, sample_rows: int) -> DataFrame:
+    """As ``nearest``, for usable vectors of one length."""
+    spark, vector = rows.sparkSession, dict(rows.dtypes)["vec"]
     same = Window.partitionBy("vec").orderBy("vec_id")
     points = saved(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("vec_id", "vec"))
     total = points.count()
     keep = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * sample_rows / max(total, 1)))
     sample = points.where(keep).select("vec").limit(2 * sample_rows).toArrow().column("vec").combine_chunks()
-    sample = matrix(sample)
+    sample = matrix(sample).astype(np.float32)
     if not len(sample):
-        sample = matrix(points.select("vec").limit(1).toArrow().column("vec").combine_chunks()) if total else np.ones((1, 1), np.float32)
-    lists = int(np.clip(round(total / list_rows), 1, min(MAX_LISTS, max(1, len(sample) // 8))))
+        sample = matrix(points.select("vec").limit(1).toArrow().column("vec").combine_chunks()).astype(np.float32)
+    lists = int(np.clip(round(total / list_rows), 1, max(1, len(sample) // 8)))
     graph = CentroidGraph(fit_centroids(sample, lists))
-    sent = spark.sparkContext.broadcast(graph)  # at most MAX_LISTS centroids
+    sent = spark.sparkContext.broadcast(graph)  # an eighth of the sample's size at most
 
-    post = arrow_of("list int, vec_id long, vec array<float>")
+    post = arrow_of(f"list int, vec_id long, vec {vector}")
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value.centroids
@@ -149,7 +157,7 @@ def nearest(
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 x = matrix(part.column("vec"))
-                d = np.sqrt(squared(x, c))
+                d = np.sqrt(squared(x.astype(np.float32), c))
                 near = np.argpartition(d, min(2 * replicas, len(c) - 1), axis=1)[:, : 2 * replicas]
                 near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
                 far = np.take_along_axis(d, near, 1)
@@ -164,11 +172,11 @@ def nearest(
                 taken = part.take(pa.array(at))
                 yield record_batch(post, {"list": near[at, which].astype(np.int32), "vec_id": taken.column("vec_id"), "vec": taken.column("vec")})
 
-    postings = saved(points.mapInArrow(index, "list int, vec_id long, vec array<float>"))
+    postings = saved(points.mapInArrow(index, f"list int, vec_id long, vec {vector}"))
     queries = rows.where(F.col("vec_id") % query_modulus == 0)
     distinct = queries.groupBy("vec").agg(F.min("vec_id").alias("query"))
 
-    probe = arrow_of("list int, query long, vec array<float>, place int")
+    probe = arrow_of(f"list int, query long, vec {vector}, place int")
 
     def probes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,11 +188,11 @@ def nearest(
                 places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
                 yield record_batch(probe, {"list": np.concatenate(found).astype(np.int32), "query": taken.column("query"), "vec": taken.column("vec"), "place": places})
 
-    probed = saved(distinct.mapInArrow(probes, "list int, query long, vec array<float>, place int"))
+    probed = saved(distinct.mapInArrow(probes, f"list int, query long, vec {vector}, place int"))
 
     def blocks(rows: DataFrame, key: str, most: int, *also: str) -> DataFrame:
         """A row for each list and part: keys and vectors of at most some ``most`` rows."""
-        sizes = rows.groupBy("list").count().select("list", F.ceil(F.col("count") / most).cast("int").alias("parts"))  # at most MAX_LISTS rows
+        sizes = rows.groupBy("list").count().select("list", F.ceil(F.col("count") / most).cast("int").alias("parts"))  # a row a list
         dealt = rows.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
         packed = dealt.groupBy("list", "part").agg(F.collect_list(F.struct(key, "vec", *also)).alias("rows"))
         return packed.select("list", *(F.col(f"rows.{name}").alias(f"{key}_{name}") for name in ("vec", *also)), F.col(f"rows.{key}").alias(key))
@@ -216,7 +224,7 @@ def nearest(
     rest = probed.where(F.col("place") >= FIRST_LISTS).join(ends, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     once = first.unionByName(compared(rest)).groupBy("query", "vec_id").agg(F.min("score").alias("score"))  # replicas of one vector
     top = once.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k + 1)
-    named = distinct.withColumnRenamed("vec", "same").join(top, "query").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("same")), "same")
+    answered = distinct.withColumnRenamed("vec", "same").join(top, "query").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("same")), "same")
     mine = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = named.where(F.col("query_id") != F.col("vec_id")).withColumn("rank", F.row_number().over(mine))
+    ranked = answered.where(F.col("query_id") != F.col("vec_id")).withColumn("rank", F.row_number().over(mine))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

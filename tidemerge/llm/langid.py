@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import arrow_of, held_out_fold, kept_in_worker, parts, record_batch, slim
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Documented bounds of the fit: labelled rows per language, languages, words and grams of each length kept per language.
-SAMPLE_ROWS, MAX_LANGUAGES, TOP_WORDS, TOP_GRAMS, LONGEST = 4_000, 256, 20_000, 8_000, 5
+#: Documented bounds of the fit: labelled rows per language, words and grams of each length kept per language. With more languages
+#: than MOST_LANGUAGES the fit fails: the column can't hold languages.
+SAMPLE_ROWS, MOST_LANGUAGES, TOP_WORDS, TOP_GRAMS, LONGEST = 4_000, 2_000, 20_000, 8_000, 5
+#: The means over a text's words count as so many independent words at most, however long the text: words of one text go together.
+INDEPENDENT = 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -66,7 +69,7 @@ class LanguageModel:
                 places.clear()
             at = np.array(list(map(places.__getitem__, words)))  # first, for new words may move the rows
             mean = places.rows[at].mean(0, dtype=np.float64)
-            odds = np.exp((mean - mean.max()) * min(len(words), 20))
+            odds = np.exp((mean - mean.max()) * (len(words) / (1 + len(words) / INDEPENDENT)))
             best = int(mean.argmax())  # ties to the first in name order
             return self.languages[best], float(odds[best] / odds.sum())
 
@@ -92,41 +95,48 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Fit on labelled rows outside the held-out fold: a hash sample of about ``sample_rows`` rows a language, whole texts.
 
     The number of labelled rows is counted over all documents; the sample is bounded, so the counts of words and grams that
-    reach the driver are too (TOP_WORDS and TOP_GRAMS a language and length; MAX_LANGUAGES languages, the commonest).
+    reach the driver are too (TOP_WORDS and TOP_GRAMS a language and length). More than MOST_LANGUAGES languages are an error.
     """
     rows = slim(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_fold(F.col("doc_id")))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different values in the column of languages")
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return LanguageModel([], [{}])
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, int((1 << 30) * sample_rows / r["count"]))) for r in found], "lang string, share long")
-    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("lang", "text")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share")).select("lang", "text")
     target = arrow_of("lang string, n int, gram string, hits long")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counted: Counter) -> pa.RecordBatch:
-            keys = list(counted)
-            return record_batch(target, {"lang": [k[0] for k in keys], "n": [k[1] for k in keys], "gram": [k[2] for k in keys], "hits": list(counted.values())})
-
         words: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
                 lang = lang.as_py()
                 words.update((lang, word) for word in words_of(text.as_py()))
                 if len(words) > 200_000:
-                    yield out(grams(words))
+                    yield from counts(words)
                     words.clear()
-        yield out(grams(words))
+        yield from counts(words)
 
-    def grams(words: Counter) -> Counter:
+    def counts(words: Counter) -> Iterator[pa.RecordBatch]:
+        """Words and their grams, in batches of bounded size however long a word is."""
         out: Counter = Counter()
         for (lang, word), hits in words.items():
-            if len(word) <= 40:
-                out[lang, 0, word] += hits
+            out[lang, 0, word] += hits
             for n in range(1, LONGEST + 1):
-                for gram in grams_of(word[:40], n):
-                    out[lang, n, gram] += hits
-        return out
+                for start in range(0, len(word) + 2, 100_000):
+                    piece = f"<{word}>"[start : start + 100_000 + n - 1]
+                    for i in range(len(piece) - n + 1):
+                        out[lang, n, piece[i : i + n]] += hits
+                    if len(out) > 1_000_000:
+                        yield batch_of(out)
+                        out.clear()
+        yield batch_of(out)
+
+    def batch_of(counted: Counter) -> pa.RecordBatch:
+        keys = list(counted)
+        return record_batch(target, {"lang": [k[0] for k in keys], "n": [k[1] for k in keys], "gram": [k[2] for k in keys], "hits": list(counted.values())})
 
     counted = sample.mapInArrow(count, "lang string, n int, gram string, hits long").groupBy("lang", "n", "gram").agg(F.sum("hits").alias("hits"))
     top = Window.partitionBy("lang", "n").orderBy(F.desc("hits"), "gram")

@@ -63,7 +63,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(value - self.thresholds, -60, 60)))
 
     def valuer(self):
-        """A function text -> latent value, with a bounded memo of tokens."""
+        """A function text -> latent value, None without tokens; with a bounded memo of tokens."""
         weights = self.weights
 
         class Memo(dict):
@@ -73,10 +73,10 @@ class OrdinalModel:
 
         memo = Memo()
 
-        def value(text: str | None) -> float:
+        def value(text: str | None) -> float | None:
             tokens = tokens_of(text)
             if not tokens:
-                return 0.0
+                return None
             if len(memo) > self.memo_tokens:
                 memo.clear()
             return SCALE * (sum(map(memo.__getitem__, tokens)) + weights[REPEATED] * sum(map(eq, tokens, tokens[1:]))) / len(tokens)
@@ -151,12 +151,13 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
 def grade(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_id", text_col: str = "text", tail: int = 0, least: float = 0.5) -> DataFrame:
     """One row per document: doc_id, expected_grade, tails (P(grade > k) for all grades but the last), selected (1 if tails[tail] >= least).
 
-    The whole text decides, nothing else. Null and empty texts have latent value 0. Without a model (fewer than two grades
-    rated) expected_grade is null, tails empty and every document selected. Repeated rows are graded row by row.
+    The whole text decides, nothing else. Null, empty and blank texts get the lowest grade, tails of 0 and are not selected. Without
+    a model (fewer than two grades rated) expected_grade is null, tails empty and every other document selected. Repeated rows are
+    graded row by row; other columns are ignored.
     """
     rows = slim(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     if model is None:
-        return rows.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.array().cast("array<double>").alias("tails"), F.lit(1).alias("selected"))
+        return rows.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.array().cast("array<double>").alias("tails"), F.coalesce(F.col("text").rlike("\\S"), F.lit(False)).cast("int").alias("selected"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
     schema = "doc_id long, expected_grade double, tails array<double>, selected int"
     target = arrow_of(schema)
@@ -165,8 +166,9 @@ def grade(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_id"
         model = sent.value
         value, steps = model.valuer(), np.diff(model.grades)
         for batch in batches:
-            tails = [model.tails(value(x.as_py())) for x in batch.column("text")]
+            values = [value(x.as_py()) for x in batch.column("text")]
+            tails = [np.zeros(len(steps)) if v is None else model.tails(v) for v in values]
             expected = [model.grades[0] + float(steps @ t) for t in tails]
-            yield record_batch(target, {"doc_id": batch.column("doc_id"), "expected_grade": expected, "tails": [t.tolist() for t in tails], "selected": [int(t[tail] >= least) for t in tails]})
+            yield record_batch(target, {"doc_id": batch.column("doc_id"), "expected_grade": expected, "tails": [t.tolist() for t in tails], "selected": [int(v is not None and t[tail] >= least) for v, t in zip(values, tails, strict=True)]})
 
     return rows.mapInArrow(run, schema)

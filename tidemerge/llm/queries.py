@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from . import quality, toxicity
-from .common import held_out_fold, table
+from .common import held_out_fold, shared_folder, table
 from .decontamination import find_leaks
 from .langid import fit as fit_languages
 from .langid import identify
@@ -28,7 +29,8 @@ def piece_model() -> str:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    """By a slot map that is dealt, stored, rebalanced to the sizes of the table, stored again and loaded."""
+    return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from .common import arrow_of, kept_in_worker, record_batch, slim
 
 #: Rules for a token that overlaps several sections: the one with most of its characters (ties: the first), that of its first character, or of its last.
 RULES = ("most", "first", "last")
+#: White space as word patterns have it (fixed values: Unicode's White_Space). A pattern's engine can't look behind runs of any length.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _PARAGRAPH = re.compile(r"\n+")
 
 
@@ -59,7 +61,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
 
     ranks_path, pattern: a byte-level BPE vocabulary (base64 bytes and rank, line by line) and its word pattern. The tokens of a
     document's sections add up to doc_tokens. Null and empty texts have one section without tokens. Texts are encoded whole,
-    whatever their length; strings of special tokens are ordinary text. Rows with equal ids are counted row by row; other columns
+    whatever their length (in long runs of blanks the pattern must end a word before the last blank, as those of byte-level BPE do);
+    strings of special tokens are ordinary text. Rows with equal ids are counted row by row; other columns
     are ignored. The vocabulary is read by the driver and sent once (about a megabyte; its size is checked).
     """
     if rule not in RULES:
@@ -82,7 +85,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                 for text in part.column("text"):
                     text = text.as_py() or ""
                     ids = np.array(encode(text), np.int64)
-                    starts, ends = char_spans(text.encode(), size_of[ids])
+                    starts, ends = char_spans(text.encode(), size_of[ids]) if len(ids) else (ids, ids)
                     sections = np.array(paragraphs_of(text), np.int64)
                     place = attributed(starts, ends, sections, len(text), rule)
                     crosses = np.searchsorted(sections, np.maximum(ends - 1, starts), "right") > np.searchsorted(sections, starts, "right")
@@ -105,4 +108,18 @@ def tokenizer_of(content: bytes, pattern: str) -> tuple:
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        """Ids. A long run of blanks is a word by itself, but for its last blank if more text follows: so the patterns have it."""
+        if len(text) < 1000 or not (runs := [m.span() for m in _BLANKS.finditer(text)]):
+            return encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for start, end in runs:
+            end -= end < len(text)
+            ids += encoding.encode_ordinary(text[at:start])
+            ids += encoding._encode_single_piece(text[start:end].encode())
+            at = end
+        return ids + encoding.encode_ordinary(text[at:])
+
+    return encode, sizes
