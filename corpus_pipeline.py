@@ -6,12 +6,13 @@ first place, documents that hold benchmark items go, and the rest is encoded int
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemerge.llm import toxicity
-from tidemerge.llm.common import table
+from tidemerge.llm.common import shared_folder, table
 from tidemerge.llm.decontamination import find_leaks
 from tidemerge.llm.near_copies import keep_one
 from tidemerge.llm.queries import piece_model
@@ -25,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with five-word shingles at least 0.8 similar, linked ones form a group; that of the smallest id stays."""
+    """Documents with five-word shingles at least 0.8 similar, found by SimHash fingerprints and bands of minima, form a group; that of the smallest id stays."""
     return keep_one(docs)
 
 
@@ -35,9 +36,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. A document without id can't be told by its id, and stays."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text holds a benchmark item go, with an id or without."""
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*columns).withColumn("key", F.xxhash64(columns[docs.columns.index("text")]))
+    texts = named.select(F.col("key").alias("doc_id"), F.col(columns[docs.columns.index("text")]).alias("text"))
+    leaks = find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return named.join(leaks, "key", "left_anti").select(*columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,23 +51,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
+    ("simhash", drop_near_copies),
     ("substring_dedup", cut_repeats),
     ("decontamination", drop_leaks),
     ("sentencepiece", encode),
 ]
 
-#: Dictionaries, fingerprints and pieces can't be said in SQL; the tests hold each stage against a plain version.
+#: Dictionaries, fingerprints and pieces can't be said in SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared checkpoint folder and read again."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-"))
     docs = table(spark, sf_dir, "documents")
-    folder = f"{context.getCheckpointDir()}/pipeline-{spark._jvm.java.util.UUID.randomUUID()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
