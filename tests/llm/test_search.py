@@ -50,6 +50,21 @@ def test_odd_vectors(spark):
     assert nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_distances_of_doubles_and_of_other_lengths(spark):
+    table = [(0, [16777217.0, 1.0]), (1, [16777216.0, 1.0]), (2, [16777218.5, 1.0]), (100, [1.0]), (3, [4.0])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert rows(nearest(df)) == [(0, 1, 1, 1.0), (0, 2, 2, 1.5), (100, 1, 3, 3.0)]
+
+
+def test_ratio_prunes_lists_of_clustered_vectors():
+    rng = np.random.default_rng(9)
+    centres = 4 * rng.standard_normal((150, 32))
+    x = (centres[rng.integers(0, 150, 20_000)] + rng.standard_normal((20_000, 32))).astype(np.float32)
+    graph = CentroidGraph(fit_centroids(x, 156))
+    probed = [len(graph.search(q, 1.3, 24)) for q in x[:300]]
+    assert np.mean(probed) < len(graph.centroids) / 5
+
+
 def test_graph_finds_nearest_centroids():
     rng = np.random.default_rng(2)
     c = fit_centroids(rng.standard_normal((4000, 8)), 300)
@@ -95,6 +110,52 @@ def test_an_item_in_very_many_documents_is_found(spark):
     assert {r.doc_id for r in got.collect()} == {i for i in range(900) if i % 3 == 0}
 
 
+def test_short_items_are_found_in_a_row(spark):
+    rng = random.Random(14)
+    docs = [(i, prose(rng, 60)) for i in range(60)]
+    docs[5], docs[6], docs[7] = (5, f"{docs[5][1]}, Seven words that are in a row!"), (6, f"seven words that are in a {docs[6][1]} row"), (7, "words that are seven words that are in a row")
+    docs += [(8, "seven words that are in a row")] * 2 + [(None, "Seven words that are in a row")]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "seven words that are in a row"), (2, "seven words that are in a row"), (3, "row seven"), (4, "!")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (5, 7, 8, None) for i in (1, 2)} and len(got) == 8
+    assert all(r.common == r.answer == 1 and 0 <= r.cosine <= 1.000001 for r in got)
+
+
+def plain_leaks(docs, items, least=0.6, answer=0.5):
+    """Pairs whose words have a common subsequence of the rule within some stretch of twice the item's words."""
+    import re
+
+    words = {i: re.findall(r"[a-z0-9]+", t.lower()) for i, t in docs}
+    out = set()
+    for item, text in items:
+        own = re.findall(r"[a-z0-9]+", text.lower())
+        n = len(own)
+        for i, all_words in words.items():
+            for start in range(0, max(1, len(all_words) - n + 1), 4):
+                part = all_words[start : start + 2 * n]
+                if len(set(part) & set(own)) < 0.3 * len(set(own)):
+                    continue
+                number = {w: k for k, w in enumerate(sorted({*own, *part}))}
+                length, used = common_subsequence([number[w] for w in own], np.array([number[w] for w in part]))
+                if length >= least * n and used[n - min(n, max(4, n // 4)) :].mean() >= answer:
+                    out.add((i, item))
+                    break
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(15)
+    items = [(i, prose(rng, rng.randrange(10, 60))) for i in range(25)]
+    docs = [(i, prose(rng, rng.randrange(1, 200))) for i in range(200)]
+    for k in range(60):
+        words = rng.choice(items)[1].split()
+        changed = [w if rng.random() > 0.04 * (k % 12) else prose(rng, 1) for w in words]
+        i = rng.randrange(200)
+        docs[i] = (i, f"{docs[i][1]} {' '.join(changed)} {prose(rng, 20)}")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = plain_leaks(docs, items)
+    assert expected <= got and len(expected) > 30 and len(got - expected) <= 1  # the text around a window may be a little longer
+
+
 def test_copies_that_keep_only_common_words_are_found(spark):
     rng = random.Random(8)
     common = prose(rng, 150).split()
@@ -144,6 +205,41 @@ def test_tokens_of_sections_add_up(spark, odd):
     assert count_tokens(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def plain_counts(text, spans, starts, rule):
+    """Tokens and crossing tokens of each section, span by span."""
+    ends, tokens, crossing = [*starts[1:], len(text)], [0] * len(starts), [0] * len(starts)
+    for a, b in spans:
+        inside = [max(0, min(b, e) - max(a, s)) for s, e in zip(starts, ends, strict=True)]
+        held = [k for k, n in enumerate(inside) if n]
+        own = {"most": max(held, key=lambda k: (inside[k], -k)), "first": held[0], "last": held[-1]}[rule]
+        tokens[own] += 1
+        crossing[own] += len(held) > 1
+    return list(zip(tokens, crossing, strict=True))
+
+
+@pytest.mark.parametrize("rule", ["most", "first", "last"])
+def test_sections_equal_a_plain_loop(spark, rule):
+    import base64
+
+    with open(RANKS, "rb") as file:
+        content = file.read()
+    encode, _ = tokenizer_of(content, public_tokenizers.PATTERN)
+    token = {int(n): base64.b64decode(t) for t, n in map(bytes.split, content.splitlines())}
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice(["word ", "\n", "\n\n", " \n \n", "w\u00f6rd", "\U0001f600", "\u6f22", "x.\n", "  ", "\n  \n"]) for _ in range(60)) + ".") for i in range(40)]
+    texts += [(90, " " * 1_000_000), (91, "a" + " " * 300_000 + "\n" + " " * 5000 + "b")]
+    out = count_tokens(spark.createDataFrame(texts, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN, rule=rule).collect()
+    for i, text in texts:
+        data, at, spans = text.encode(), 0, []
+        for n in encode(text):
+            end = at + len(token[n])
+            spans.append((len(data[:at].decode(errors="ignore")), len(data[:end].decode(errors="replace"))) if i < 90 else (at, end))
+            at = end
+        assert at == len(data)
+        mine = sorted((r for r in out if r.doc_id == i), key=lambda r: r.section)
+        assert [(r.n_tokens, r.crossing) for r in mine] == plain_counts(text, spans, [r.start for r in mine], rule)
+
+
 def test_border_rules():
     starts, ends, sections = np.array([0, 2, 4, 9]), np.array([2, 4, 9, 10]), np.array([0, 3, 8])
     assert attributed(starts, ends, sections, 10, "most").tolist() == [0, 0, 1, 2]

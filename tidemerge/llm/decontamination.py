@@ -9,12 +9,14 @@ decide; so reworded copies are found as well as verbatim ones.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +27,19 @@ from .word_hashes import hashed, slices
 #: apart, not passages), words of a passage, and the buckets of a block of summed rows.
 BUCKETS, RANK, LEADING, PASSAGE, BLOCK = 1 << 15, 96, 8, 64, 1024
 #: Words in over this share of passages (and over COMMON_LEAST passages) are left out of the vectors, not of the common
-#: subsequences. An item of which they are over COMMON_ITEM is itself frequent in the corpus or has few rare words: its vector
-#: would say little. Every item is looked for by counting its words in each window; such an item only so.
-COMMON, COMMON_LEAST, COMMON_ITEM = 0.005, 50, 0.8
+#: subsequences. An item of such words alone has no vector; it is found by counting its words in each window, as every item is.
+COMMON, COMMON_LEAST = 0.005, 50
 #: Windows start every STEP words and have WINDOWS words; an item is looked for in the shortest windows that can hold it.
 STEP, WINDOWS = 16, (32, 48, 64)
-#: Items with fewer words can't be told from ordinary text. Items are sent to the executors in blocks of at most so many.
+#: Parts of fewer words don't tell an item: shorter ones are found where all their words stand in a row. Items are sent to the
+#: executors in blocks of about so many.
 LEAST_WORDS, ITEM_BLOCK = 8, 1024
 #: Words over this share of some texts' words are counted apart from others, and no more often than an item has such words.
 FREQUENT = 0.001
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): each text's words as 16-bit hashes in one binary value."""
+    """(doc_id, words): each text's words as 32-bit hashes in one binary value."""
     target = arrow_of("doc_id long, words binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,20 +47,20 @@ def coded(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, counts = hashed(part.column("text"))
-                data, ends = h.astype(np.uint16).tobytes(), 2 * np.cumsum(counts)
-                rows = [data[b - 2 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                data, ends = h.tobytes(), 4 * np.cumsum(counts)
+                rows = [data[b - 4 * n : b] for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield record_batch(target, {"doc_id": part.column("doc_id"), "words": rows})
 
     return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their words one after another, words of each row), of about ``limit`` bytes."""
     fresh_worker()
     for batch in batches:
         for part in slices(batch, "words", limit):
             rows = part.column("words").to_pylist()
-            yield part, np.frombuffer(b"".join(rows), np.uint16), np.array([len(r) // 2 for r in rows], np.int64)
+            yield part, np.frombuffer(b"".join(rows), np.uint32), np.array([len(r) // 4 for r in rows], np.int64)
 
 
 def passages(counts: np.ndarray, size: int) -> np.ndarray:
@@ -110,7 +112,8 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
     G (R'G)^-1 G' approximates A'A: its factors give the right singular vectors and the singular values, which whiten the space.
     """
     sent = words.sparkSession.sparkContext.broadcast(weights)
-    target = arrow_of("block int, part binary")
+    schema = "block int, own int, part binary"
+    target = arrow_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -128,21 +131,24 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
                 y = np.add.reduceat(random[k].take(bucket), begins) * scale
                 total[k] += np.bincount(bucket, y.take(at), minlength=BUCKETS)
         total = (total * w).T
+        own = TaskContext.get().partitionId() % groups
         for k in range(0, BUCKETS, BLOCK):
-            yield record_batch(target, {"block": [k // BLOCK], "part": [total[k : k + BLOCK].astype(np.float32).tobytes()]})
+            yield record_batch(target, {"block": [k // BLOCK], "own": [own], "part": [total[k : k + BLOCK].astype(np.float32).tobytes()]})
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for block, part in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
+            for block, own, part in zip(batch.column("block").to_pylist(), batch.column("own").to_pylist(), batch.column("part"), strict=True):
                 value = np.frombuffer(part.as_py(), np.float32)
-                sums[block] = sums[block] + value if block in sums else value.astype(np.float64)
-        for block, value in sums.items():
-            yield record_batch(target, {"block": [block], "part": [value.astype(np.float32).tobytes()]})
+                sums[block, own] = sums[block, own] + value if (block, own) in sums else value.astype(np.float64)
+        for (block, own), value in sums.items():
+            yield record_batch(target, {"block": [block], "own": [own], "part": [value.astype(np.float32).tobytes()]})
 
     cores = words.sparkSession.sparkContext.defaultParallelism
-    few = words.coalesce(max(2 * cores, words.rdd.getNumPartitions() // 8))  # each task's sum has BUCKETS x RANK numbers, however small its share
-    parts = few.mapInArrow(run, "block int, part binary").repartition("block").mapInArrow(added, "block int, part binary").toArrow()  # BUCKETS x RANK numbers
+    tasks = max(2 * cores, words.rdd.getNumPartitions() // 8)
+    groups = max(1, math.isqrt(tasks))  # sums of tasks are added up in groups first, and then the groups': no task adds up more than about the root of all
+    sums = words.coalesce(tasks).mapInArrow(run, schema).repartition("block", "own").mapInArrow(added, schema)  # each task's sum has BUCKETS x RANK numbers, however small its share
+    parts = sums.withColumn("own", F.lit(0)).repartition("block").mapInArrow(added, schema).toArrow()  # BUCKETS x RANK numbers
     g = np.zeros((BUCKETS, RANK))
     for block, part in zip(parts.column("block").to_pylist(), parts.column("part"), strict=True):
         g[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part.as_py(), np.float32).reshape(-1, RANK)
@@ -162,18 +168,29 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, words, the place where the answer starts, latent vectors, and which are looked for by counting alone.
+    """A block of benchmark items: ids, words, the place where the answer starts, and latent vectors; shorter ones after ``whole`` others.
 
-    member: a row for each word of any item, 1 for the items that have it; row: the row of each word, the first one for others."""
+    known: the words of all items, in order; member: a row for each of them behind a first one of zeros, 1 for the items that have it."""
 
     ids: np.ndarray
     words: list[np.ndarray]
     answers: list[int]
     latent: np.ndarray
-    direct: np.ndarray
     times: list[Counter]
-    row: np.ndarray
+    known: np.ndarray
+    maybe: np.ndarray
     member: np.ndarray
+    whole: int
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """The row of each word, 0 for words of no item."""
+        out = np.zeros(len(codes), np.int32)
+        some = np.flatnonzero(self.maybe[codes & 0xFFFF])
+        at = np.searchsorted(self.known, codes[some])
+        at[at == len(self.known)] = 0
+        hit = self.known[at] == codes[some] if len(self.known) else at > 0
+        out[some[hit]] = at[hit] + 1
+        return out
 
 
 def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -208,12 +225,12 @@ def common_subsequence(a: list[int], b: np.ndarray) -> tuple[int, np.ndarray]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = 0.65, least_common: float = 0.6, least_answer: float = 0.5) -> DataFrame:
     """(doc_id, item_id, cosine, common, answer): documents that hold a benchmark item, one row for each such pair.
 
-    cosine: that of the window the item was found in. Windows of at least ``cosine`` times the root of the share of the window that
+    cosine: that of the latent vectors of the item and the window it was found in (0 for an item of frequent words alone). Windows of at least ``cosine`` times the root of the share of the window that
     the item can fill are tried, and all that have ``least_common`` of the item's words, however low their cosine. common: words of the longest common subsequence of item and the text around
     the window, over the item's words, at least ``least_common``. answer: the share of the item's last quarter (4 words at least)
     within that subsequence, at least ``least_answer``.
 
-    Null and empty texts hold nothing; items of under LEAST_WORDS words are never found; equal items are each reported; an empty
+    Null and empty texts hold nothing; items of under LEAST_WORDS words are found where all their words stand in a row; items without words never. Equal items are each reported; an empty
     table on either side gives no rows. Repeated document rows report once. Long texts are searched whole. Other columns are
     ignored.
     """
@@ -245,27 +262,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def _items(rows: pa.Table, basis: np.ndarray) -> Items:
-    ids, words, answers, latent, direct = [], [], [], [], []
+    found = []
     if rows.num_rows:
         rows = rows.sort_by([("item_id", "ascending"), ("text", "ascending")])
         codes, counts = hashed(rows.column("text").combine_chunks())
-        codes = codes.astype(np.uint16)
-        for item, end, n in zip(rows.column("item_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
-            own = codes[end - n : end]
-            vector = basis[own & (BUCKETS - 1)].sum(0)
-            if n >= LEAST_WORDS:
-                ids.append(item)
-                words.append(own)
-                answers.append(n - min(n, max(4, n // 4)))
-                latent.append(vector / max(float(np.linalg.norm(vector)), 1e-30))
-                direct.append((basis[own & (BUCKETS - 1)] == 0).all(1).mean() > COMMON_ITEM)
-    row = np.zeros(1 << 16, np.int32)
-    known = np.unique(np.concatenate([np.zeros(0, np.uint16), *words]))
-    row[known] = np.arange(1, len(known) + 1)
+        ends = np.cumsum(counts).tolist()
+        found = [(item, codes[end - n : end]) for item, end, n in zip(rows.column("item_id").to_pylist(), ends, counts.tolist(), strict=True) if n]
+        found.sort(key=lambda x: len(x[1]) < LEAST_WORDS)  # stable: longer ones first
+    words = [own for _, own in found]
+    latent = [basis[own & (BUCKETS - 1)].sum(0) for own in words]
+    latent = [v / max(float(np.linalg.norm(v)), 1e-30) for v in latent]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint32), *words]))
+    maybe = np.zeros(1 << 16, bool)
+    maybe[known & 0xFFFF] = True
     member = np.zeros((len(known) + 1, len(words)), np.uint8)
+    items = Items(np.array([i for i, _ in found], np.int64), words, [len(w) - min(len(w), max(4, len(w) // 4)) for w in words], np.array(latent, np.float32).reshape(-1, RANK), [Counter(w.tolist()) for w in words], known, maybe, member, sum(len(w) >= LEAST_WORDS for w in words))
     for i, own in enumerate(words):
-        member[row[own], i] = 1
-    return Items(np.array(ids, np.int64), words, answers, np.array(latent, np.float32).reshape(-1, RANK), np.array(direct, bool), [Counter(w.tolist()) for w in words], row, member)
+        member[items.rows(own), i] = 1
+    return items
 
 
 def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndarray, items: Items, cosine: float, least_common: float, least_answer: float) -> dict:
@@ -279,10 +293,10 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
     starts = np.flatnonzero(np.append(True, step[1:] != step[:-1]))
     sums = _sums(basis, codes, starts)
     doc_of = np.searchsorted(steps, np.arange(len(sums)), "right")
-    sizes, best = np.array([len(w) for w in items.words]), {}
+    sizes, best = np.array([len(w) for w in items.words[: items.whole]], np.int64), {}
     for k, size in enumerate(WINDOWS):
         last = k == len(WINDOWS) - 1
-        mine = np.flatnonzero(~items.direct & ((sizes <= size) & (sizes > (WINDOWS[k - 1] if k else 0)) | last & (sizes > size)))
+        mine = np.flatnonzero((sizes <= size) & (sizes > (WINDOWS[k - 1] if k else 0)) | last & (sizes > size))
         if not len(mine):
             continue
         window = sums.copy()
@@ -300,6 +314,10 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
         window = sums[w : min(w + size // STEP, int(steps[doc_of[w]]))].sum(0)
         value = float(window @ items.latent[i]) / max(float(np.linalg.norm(window)), 1e-30)
         _compare(w, i, value, size, codes, counts, begin, starts, doc_of, items, best, least_common, least_answer)
+    for at, i in _in_a_row(items, codes, counts):
+        bucket = codes[at : at + len(items.words[i])] & (BUCKETS - 1)
+        window = basis[:, bucket].sum(1)
+        best[int(np.searchsorted(begin + counts, at, "right")), i] = 1.0, 1.0, float(window @ items.latent[i]) / max(float(np.linalg.norm(window)), 1e-30)
     for (doc, i), (common, answer, value) in best.items():
         out["doc_id"].append(doc_ids[doc])
         out["item_id"].append(int(items.ids[i]))
@@ -309,12 +327,27 @@ def _search(doc_ids: list, codes: np.ndarray, counts: np.ndarray, basis: np.ndar
     return out
 
 
+def _in_a_row(items: Items, codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, item) of items of under LEAST_WORDS words whose words all stand in a row there, within a document."""
+    if items.whole == len(items.words):
+        return
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(codes))  # words from here to the end of the document
+    for i in range(items.whole, len(items.words)):
+        own = items.words[i]
+        at = np.flatnonzero((codes == own[0]) & (left >= len(own)))
+        for k in range(1, len(own)):
+            at = at[codes[at + k] == own[k]]
+        yield from ((place, i) for place in at.tolist())
+
+
 def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, least_common: float) -> Iterator[tuple[int, int, int]]:
     """(window, item, words of the window) of windows in which at least ``least_common`` of an item's words can be.
 
     A copy of n words, with words put in or not, may take 2 n (WINDOWS[0] at least), and start anywhere in a window's first step.
     """
-    row = items.row[codes]
+    if not len(sizes):
+        return
+    row, member = items.rows(codes), items.member[:, : items.whole]
     often = np.bincount(row, minlength=len(items.member)) > FREQUENT * len(codes)
     often[0] = False
     length = -(-np.maximum(WINDOWS[0], 2 * sizes) // STEP) + 1
@@ -327,9 +360,9 @@ def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
         for a in range(0, len(edges), 512):
             some = edges[a : a + 512]
             words = row[kept[some[0] : edges[a + 512] if a + 512 < len(edges) else len(kept)]]
-            total[step[some] + 1] = np.add.reduceat(items.member[words], some - some[0], axis=0, dtype=np.uint8)
+            total[step[some] + 1] = np.add.reduceat(member[words], some - some[0], axis=0, dtype=np.uint8)
         totals.append(np.cumsum(total, axis=0, dtype=small, out=total))
-    most = np.array([int(often[items.row[w]].sum()) for w in items.words])  # frequent words of each item
+    most = np.array([int(often[items.rows(w)].sum()) for w in items.words[: items.whole]])  # frequent words of each item
     least = np.ceil(least_common * sizes - 1e-9).astype(np.int32)
     at, place, bounds = np.arange(len(starts)), np.zeros(len(items.member), np.int64), np.append(starts, len(codes))
     for n in np.unique(length):
@@ -340,7 +373,7 @@ def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
         for k in np.flatnonzero(enough.any(1)):
             # a word counts as often as the item has it
             i, found = int(mine[k]), np.flatnonzero(enough[k])
-            own, times = np.unique(items.row[items.words[i]], return_counts=True)
+            own, times = np.unique(items.rows(items.words[i]), return_counts=True)
             place[own] = np.arange(1, len(own) + 1)
             inside = bounds[found, None] + np.arange(int(n) * STEP)
             words = np.where(inside < bounds[last[found], None], place[row[np.minimum(inside, len(codes) - 1)]], 0)
