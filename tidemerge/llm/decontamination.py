@@ -54,7 +54,7 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their words one after another, words of each row), of about ``limit`` bytes."""
     fresh_worker()
     for batch in batches:
@@ -170,7 +170,8 @@ def latent_basis(words: DataFrame, weights: np.ndarray) -> np.ndarray:
 class Items:
     """A block of benchmark items: ids, words, the place where the answer starts, and latent vectors; shorter ones after ``whole`` others.
 
-    known: the words of all items, in order; member: a row for each of them behind a first one of zeros, 1 for the items that have it."""
+    known: the words of all items, in order; member: a row for each of them behind a first one of zeros, 1 for the items that have it;
+    places: the rows of each item's words, and how often it has each."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -181,6 +182,7 @@ class Items:
     maybe: np.ndarray
     member: np.ndarray
     whole: int
+    places: list[tuple[np.ndarray, np.ndarray]]
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """The row of each word, 0 for words of no item."""
@@ -276,9 +278,10 @@ def _items(rows: pa.Table, basis: np.ndarray) -> Items:
     maybe = np.zeros(1 << 16, bool)
     maybe[known & 0xFFFF] = True
     member = np.zeros((len(known) + 1, len(words)), np.uint8)
-    items = Items(np.array([i for i, _ in found], np.int64), words, [len(w) - min(len(w), max(4, len(w) // 4)) for w in words], np.array(latent, np.float32).reshape(-1, RANK), [Counter(w.tolist()) for w in words], known, maybe, member, sum(len(w) >= LEAST_WORDS for w in words))
+    items = Items(np.array([i for i, _ in found], np.int64), words, [len(w) - min(len(w), max(4, len(w) // 4)) for w in words], np.array(latent, np.float32).reshape(-1, RANK), [Counter(w.tolist()) for w in words], known, maybe, member, sum(len(w) >= LEAST_WORDS for w in words), [])
     for i, own in enumerate(words):
-        member[items.rows(own), i] = 1
+        items.places.append(np.unique(items.rows(own), return_counts=True))
+        member[items.places[i][0], i] = 1
     return items
 
 
@@ -362,7 +365,7 @@ def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
             words = row[kept[some[0] : edges[a + 512] if a + 512 < len(edges) else len(kept)]]
             total[step[some] + 1] = np.add.reduceat(member[words], some - some[0], axis=0, dtype=np.uint8)
         totals.append(np.cumsum(total, axis=0, dtype=small, out=total))
-    most = np.array([int(often[items.rows(w)].sum()) for w in items.words[: items.whole]])  # frequent words of each item
+    most = np.array([int(times[often[own]].sum()) for own, times in items.places[: items.whole]])  # frequent words of each item
     least = np.ceil(least_common * sizes - 1e-9).astype(np.int32)
     at, place, bounds = np.arange(len(starts)), np.zeros(len(items.member), np.int64), np.append(starts, len(codes))
     for n in np.unique(length):
@@ -373,7 +376,7 @@ def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
         for k in np.flatnonzero(enough.any(1)):
             # a word counts as often as the item has it
             i, found = int(mine[k]), np.flatnonzero(enough[k])
-            own, times = np.unique(items.rows(items.words[i]), return_counts=True)
+            own, times = items.places[i]
             place[own] = np.arange(1, len(own) + 1)
             inside = bounds[found, None] + np.arange(int(n) * STEP)
             words = np.where(inside < bounds[last[found], None], place[row[np.minimum(inside, len(codes) - 1)]], 0)

@@ -90,11 +90,16 @@ def repeated_runs(docs: DataFrame, run: int = RUN, longest: int = LONGEST) -> Da
     each = runs.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2", "again")).alias("start", "r")).select("id", "key", "start", "r.h1", "r.h2", "r.again")
     # counts and first places are sums and minima, made map-side before the shuffle
     first = saved(each.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min("id").alias("first")).where("places > 1"))
-    # of the rest no run is in more than one HOT-th of all places, so that none is a hot key of the join
-    hottest = first.select("places").orderBy(F.desc("places")).limit(HOT + 1).collect()  # so many numbers
-    cut = hottest[HOT].places if len(hottest) > HOT else 1
-    hot = each.join(F.broadcast(first.where(F.col("places") > cut)), ["h1", "h2"])  # HOT rows at most
-    placed = hot.unionByName(each.join(first.where(F.col("places") <= cut), ["h1", "h2"])) if len(hottest) > HOT else hot
+    # runs in over ``cut`` places are HOT at most; of the others none has more than 2 / HOT of all places: no hot key of the join
+    sizes = first.groupBy(F.ceil(F.log2("places")).cast("int").alias("power")).agg(F.count("*").alias("runs")).collect()  # a row a power of two
+    above, cut = 0, 1
+    for r in sorted(sizes, key=lambda r: -r.power):
+        above += r.runs
+        if above > HOT:
+            cut = 1 << r.power
+            break
+    hot = each.join(F.broadcast(first.where(F.col("places") > cut)), ["h1", "h2"])
+    placed = hot.unionByName(each.join(first.where(F.col("places") <= cut), ["h1", "h2"])) if cut > 1 else hot
     later = placed.where(F.col("again") | (F.col("id") > F.col("first"))).select("id", "key", "start")
     # documents of one id, or of none, are told apart by their texts
     shared = saved(runs.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("id"))

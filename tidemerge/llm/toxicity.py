@@ -74,10 +74,10 @@ class ToxicityModel:
 
     def savings(self):
         """A function windows -> bytes that the toxic dictionary saves, from -MOST_SAVED to MOST_SAVED -> how many windows."""
-        ordinary, toxic = lengths(self.ordinary, self.shortest), lengths(self.toxic, self.shortest)
+        ordinary, toxic = compressor(self.ordinary, self.shortest), compressor(self.toxic, self.shortest)
 
         def saved(windows: list[bytes]) -> Counter:
-            counts = Counter(ordinary(w) - toxic(w) for w in windows)
+            counts = Counter([len(ordinary(w)) - len(toxic(w)) for w in map(FRAME.__mod__, windows)])
             out = Counter()
             for k, n in counts.items():
                 out[min(MOST_SAVED, max(-MOST_SAVED, k))] += n
@@ -88,13 +88,17 @@ class ToxicityModel:
 
 def lengths(content: bytes, shortest: int):
     """A function window -> bytes that it takes, in its frame, with a dictionary of this content."""
+    compress = compressor(content, shortest)
+    return lambda window: len(compress(FRAME % window))
+
+
+def compressor(content: bytes, shortest: int):
     import zstandard
 
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=shortest, write_content_size=0, write_checksum=0, write_dict_id=0)
     dictionary.precompute_compress(compression_params=settings)
-    compress = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress
-    return lambda window: len(compress(FRAME % window))
+    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress
 
 
 def features(saved: Counter) -> np.ndarray:
