@@ -33,11 +33,18 @@ def build(keys: DataFrame, bits: int, hashes: int, *by: str) -> DataFrame:
     return keys.select(*by, F.explode(positions(F.col("key"), bits, hashes)).alias("bit")).distinct()
 
 
-def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """key, may_contain: whether all its bits are set. Never false for a key that was added."""
-    asked = keys.select("key").distinct().select("key", F.explode(F.array_distinct(positions(F.col("key"), bits, hashes))).alias("bit"))
-    hit = asked.join(filter_bits.select("bit", F.lit(1).alias("set")), "bit", "left")
-    return hit.groupBy("key").agg((F.count("set") == F.count("*")).alias("may_contain"))
+def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, hashes: int, *by: str) -> DataFrame:
+    """key (and ``by``: of each filter that has any of its bits), may_contain: whether all its bits are set. Never false for a key that was added."""
+    asked = keys.select("key").distinct().withColumn("at", F.array_distinct(positions(F.col("key"), bits, hashes)))
+    asked = asked.select("key", F.size("at").alias("n"), F.explode("at").alias("bit"))
+    hit = asked.join(filter_bits.select("bit", *by, F.lit(1).alias("set")), "bit", "inner" if by else "left")
+    return hit.groupBy("key", *by).agg((F.count("set") == F.max("n")).alias("may_contain"))
+
+
+def described(keys: int, rate: float) -> dict:
+    """What a filter knows about itself: expected keys, false-positive rate, bits, hashes."""
+    bits, hashes = parameters(keys, rate)
+    return {"expected": max(1, keys), "rate": rate if 0 < rate < 1 else BLOOM_RATE, "bits": bits, "hashes": hashes}
 
 
 def packed(filter_bits: DataFrame, *by: str) -> DataFrame:

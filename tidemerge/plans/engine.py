@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import re
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup, memory
-from ..operators.merge import compact, latest, normalised
-from ..schema import MANIFEST, RUN, WRITE_BUFFER_BYTES
+from ..operators.merge import compact, latest, normalised, ties
+from ..schema import CHANGE, MANIFEST, RUN, WRITE_BUFFER_BYTES
 from ..sources import wal
+from ..sources.shared import Files
+
+
+class Entry(NamedTuple):
+    """A run: its folder, and the number by which it is newer or older than others."""
+
+    path: str
+    file_id: int
 
 
 class Store:
@@ -16,70 +28,100 @@ class Store:
 
     Opening recovers: the manifest's runs, and the log up to its first damaged line. Replaying changes that a run already holds
     changes nothing. A folder listed in the manifest but missing is an error unless ``ignore_missing``.
+
+    Each manifest is a file of its own, MANIFEST-n, written beside and renamed once whole, so that a store always has the old list
+    of runs or the new one. Folders of runs that no manifest lists (of a write that broke off) are left alone, and their
+    numbers are never given out again.
+
+    The write buffer is looked at once a batch: a batch of any size becomes one run at most (``memory.threshold_flush`` cuts a
+    log as a store would that looks after each change). With ``logged`` false nothing is logged, and what isn't flushed is
+    lost with the object.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, write_buffer_bytes: int = WRITE_BUFFER_BYTES, ignore_missing: bool = False):
-        self.spark, self.folder, self.write_buffer_bytes = spark, folder.rstrip("/"), write_buffer_bytes
-        self.entries = self._manifest()
-        missing = [e.path for e in self.entries if not self._exists(f"{self.folder}/{e.path}")]
+    def __init__(self, spark: SparkSession, folder: str, *, write_buffer_bytes: int = WRITE_BUFFER_BYTES, ignore_missing: bool = False, logged: bool = True):
+        self.spark, self.folder, self.write_buffer_bytes, self.logged = spark, folder.rstrip("/"), write_buffer_bytes, logged
+        self.files, self.frozen = Files(spark), False
+        names = self.files.names(self.folder)
+        self.version, listed = self._manifest(names)
+        missing = [e.path for e in listed if e.path not in names]
         if missing and not ignore_missing:
             raise FileNotFoundError(f"runs in the manifest are missing: {missing}")
-        self.entries = [e for e in self.entries if e.path not in missing]
-        self.next_id = 1 + max([-1, *(e.file_id for e in self.entries)])
-        self.memtable = self._replayed()
+        self.entries = [e for e in listed if e.path not in missing]
+        taken = [int(m[1]) for m in map(re.compile(r"data_(\d+)").fullmatch, names) if m]
+        self.next_id = 1 + max([-1, *taken, *(e.file_id for e in listed)])
+        if taken and self.version < 0 and "wal" not in names:
+            raise FileNotFoundError(f"{self.folder} has runs but neither a manifest nor a log")
+        self.memtable = self._replayed() if logged and "wal" in names else spark.createDataFrame([], CHANGE)
         self.next_seq = 1 + (self.memtable.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0])
 
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _exists(self, path: str) -> bool:
-        p = self._path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _delete(self, path: str) -> None:
-        p = self._path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _manifest(self) -> list:
-        if not self._exists(f"{self.folder}/MANIFEST"):
-            return []
-        return self.spark.read.schema(MANIFEST).json(f"{self.folder}/MANIFEST").orderBy("ordinal").collect()  # a row a run
-
-    def _replayed(self) -> DataFrame:
-        """Logs in order of their first sequence number; each is cut at its own first damaged line."""
-        out = self.spark.createDataFrame([], "seq bigint, key string, value string, is_deleted boolean")
-        if not self._exists(f"{self.folder}/wal"):
-            return out
-        lines = self.spark.read.text(f"{self.folder}/wal/*/part-*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/wal/(\d+)/", 1).cast("bigint").alias("first"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    def _manifest(self, names: list[str]) -> tuple[int, list[Entry]]:
+        """Number and runs, oldest first, of the newest manifest; one that isn't whole is an error."""
+        numbers = [int(m[1]) for m in map(re.compile(r"MANIFEST-(\d+)").fullmatch, names) if m]
+        if not numbers:
+            return -1, []
+        try:
+            rows = json.loads(self.files.read(f"{self.folder}/MANIFEST-{max(numbers)}"))
+            return max(numbers), [Entry(r["path"], r["file_id"]) for r in rows]
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError(f"{self.folder}/MANIFEST-{max(numbers)} is damaged") from e
+
+    def _commit(self, entries: list[Entry]) -> None:
+        """The new list of runs takes the old one's place in one rename."""
+        text = json.dumps([{"ordinal": k, **e._asdict()} for k, e in enumerate(entries)])
+        self.files.publish(f"{self.folder}/MANIFEST-{self.version + 1}", text)
+        self.version, self.entries = self.version + 1, list(entries)
+        self.files.delete(f"{self.folder}/MANIFEST-{self.version - 1}")
+
+    def _replayed(self, batch: int | None = None) -> DataFrame:
+        """Logs in order of their first sequence number (or one of them); each is cut at its own first damaged line."""
+        path = f"{self.folder}/wal/{'*' if batch is None else batch}/part-*"
+        lines = self.spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/wal/(\d+)/", 1).cast("bigint").alias("first"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
         changes = wal.changes_of(wal.decode(lines, "first"), "first")
         return changes.select((F.col("first") + F.col("seq")).alias("seq"), "key", "value", "is_deleted")
 
     def write(self, changes: DataFrame) -> None:
         """Append a batch (seq in the batch, key, value, is_deleted) to the log, then flush if the write buffer is full."""
+        if self.frozen:
+            raise RuntimeError("the write buffer is frozen")
         first = self.next_seq
-        stamped = changes.withColumn("timestamp", F.unix_micros(F.current_timestamp()) * 1000)
-        wal.write(stamped, f"{self.folder}/wal/{first}")
-        self.memtable = self._replayed()
-        self.next_seq = 1 + (self.memtable.agg(F.coalesce(F.max("seq"), F.lit(first - 1))).first()[0])
+        if self.logged:
+            wal.write(changes.withColumn("timestamp", F.unix_micros(F.current_timestamp()) * 1000), f"{self.folder}/wal/{first}")
+            batch = self._replayed(first)
+        else:
+            batch = wal.changes_of(wal.decode(wal.encode(changes.withColumn("timestamp", F.lit(0))).select(F.col("seq").alias("pos"), "line"))).withColumn("seq", F.col("seq") + first)
+        self.memtable = self.memtable.unionByName(batch)
+        self.next_seq = 1 + (batch.agg(F.coalesce(F.max("seq"), F.lit(first - 1))).first()[0])
         if self.memory_usage() >= self.write_buffer_bytes:
             self.flush()
 
     def put(self, key: str, value: str) -> None:
-        self.write(self.spark.createDataFrame([(0, key, value, False)], "seq bigint, key string, value string, is_deleted boolean"))
+        self.write(self.spark.createDataFrame([(0, key, value, False)], CHANGE))
 
     def delete(self, key: str) -> None:
         """A tombstone, whether or not the key is known."""
-        self.write(self.spark.createDataFrame([(0, key, "", True)], "seq bigint, key string, value string, is_deleted boolean"))
+        self.write(self.spark.createDataFrame([(0, key, "", True)], CHANGE))
+
+    def freeze(self) -> None:
+        """From now on writes fail and reads work, until the buffer is flushed or cleared."""
+        self.frozen = True
+
+    def clear(self) -> None:
+        """An empty write buffer that takes writes; the log stays as it is."""
+        self.memtable, self.frozen = self.spark.createDataFrame([], CHANGE), False
+
+    def is_empty(self) -> bool:
+        """Whether the write buffer holds nothing, not even a tombstone."""
+        return self.memtable.isEmpty()
 
     def memory_usage(self) -> int:
         row = memory.buffer_usage(self.memtable).first()
         return row.bytes or 0
 
-    def runs(self) -> DataFrame:
-        parts = [f"{self.folder}/{e.path}" for e in self.entries]
-        if not parts:
+    def runs(self, entries: list[Entry] | None = None) -> DataFrame:
+        entries = self.entries if entries is None else entries
+        if not entries:
             return self.spark.createDataFrame([], RUN)
-        return self.spark.read.parquet(*parts).select("file_id", "key", "value", "is_deleted")
+        return self.spark.read.parquet(*(f"{self.folder}/{e.path}" for e in entries)).select("file_id", "key", "value", "is_deleted")
 
     def versions(self) -> DataFrame:
         """All runs and, as the newest, the write buffer."""
@@ -103,34 +145,48 @@ class Store:
         keys = state.count()
         if not keys:
             return
-        rows = state.select(F.lit(self.next_id).cast("bigint").alias("file_id"), "key", "value", "is_deleted")
-        self._add(rows, keys)
-        self._delete(f"{self.folder}/wal")
-        self.memtable = self._replayed()
-
-    def _add(self, rows: DataFrame, keys: int) -> None:
-        path = f"data_{self.next_id}"
-        options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(max(1, keys))}
-        files = max(1, keys // 5_000_000)
-        rows.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").options(**options).parquet(f"{self.folder}/{path}")
-        entry = self.spark.createDataFrame([(len(self.entries), path, self.next_id)], MANIFEST)
-        entry.coalesce(1).write.mode("append").json(f"{self.folder}/MANIFEST")
-        self.entries = self._manifest()
+        self._commit([*self.entries, self._written(state, self.next_id, keys)])
+        self.files.delete(f"{self.folder}/wal")
+        self.clear()
+
+    def _written(self, state: DataFrame, file_id: int, keys: int) -> Entry:
+        """A run in a folder of its own, not yet listed. Its Bloom filters are sized by its keys."""
+        entry = Entry(f"data_{self.next_id}", file_id)
+        options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(max(1, min(keys, 5_000_000)))}
+        rows = state.select(F.lit(file_id).cast("bigint").alias("file_id"), "key", "value", "is_deleted")
+        files = -(-keys // 5_000_000)
         self.next_id += 1
+        rows.repartitionByRange(max(1, files), "key").sortWithinPartitions("key").write.mode("error").options(**options).parquet(f"{self.folder}/{entry.path}")
+        return entry
+
+    def compact(self, purge_tombstones: bool = True, file_ids: list[int] | None = None) -> None:
+        """Some runs, neighbours in age (by default all), into one that stands where they stood.
 
-    def compact(self, purge_tombstones: bool = True) -> None:
-        """All runs into one; the new manifest is written beside the old one and takes its place."""
-        old = list(self.entries)
-        if len(old) < 1:
+        Tombstones can only be purged if the oldest run is among them: else older values would come back. A (key, file_id) that
+        occurs twice is an error. Without runs nothing is done; runs of tombstones alone leave none when purged.
+        """
+        chosen = [e for e in self.entries if file_ids is None or e.file_id in file_ids]
+        if not chosen:
             return
-        merged = compact(self.runs(), purge_tombstones=purge_tombstones)
-        path, new_id = f"data_{self.next_id}", self.next_id
-        options = {"parquet.bloom.filter.enabled#key": "true"}
-        merged.select(F.lit(new_id).cast("bigint").alias("file_id"), "*").repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").options(**options).parquet(f"{self.folder}/{path}")
-        self.spark.createDataFrame([(0, path, new_id)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.folder}/MANIFEST")
-        for entry in old:
-            self._delete(f"{self.folder}/{entry.path}")
-        self.entries, self.next_id = self._manifest(), new_id + 1
+        at = self.entries.index(chosen[0])
+        if chosen != self.entries[at : at + len(chosen)]:
+            raise ValueError("runs to be compacted must be neighbours: one between them would lose its place")
+        if purge_tombstones and at:
+            raise ValueError("tombstones can't be purged from newer runs alone: older values would come back")
+        rows = self.runs(chosen)
+        if not ties(rows, "file_id").isEmpty():
+            raise ValueError("a run holds a key twice")
+        merged = compact(rows, purge_tombstones=purge_tombstones)
+        keys = merged.count()
+        new = [self._written(merged, chosen[-1].file_id, keys)] if keys else []
+        self._commit([*self.entries[:at], *new, *self.entries[at + len(chosen) :]])
+        for entry in chosen:
+            self.files.delete(f"{self.folder}/{entry.path}")
 
     def run_count(self) -> int:
         return len(self.entries)
+
+    def run_list(self, newest_first: bool = True) -> DataFrame:
+        """ordinal, path, file_id of the runs."""
+        rows = [(k, *e) for k, e in enumerate(self.entries)]
+        return self.spark.createDataFrame(rows[::-1] if newest_first else rows, MANIFEST)

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..operators import bloom, lookup, memory, run_metadata
 from ..operators.merge import compact, count_keys, latest, superseded, versions, without_tombstones
 from ..sources import changelog, runs, wal
+from ..sources.shared import Files, scratch
 from ..streaming.memtable import streaming_state
 from . import script
+from .engine import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 BITS, HASHES = bloom.parameters()
+#: Sizes of the filters in the queries: keys of a run are a generation's at most; keys of all runs are counted.
+PER_RUN = 1000
+SHARDS = 4
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +90,7 @@ def memtable_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memtable_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The write buffer of the last generation in key order, tombstones among them."""
-    log = log_of(spark, sf_dir)
-    last = log.agg(F.max("file_id").alias("last"))
-    mine = log.join(F.broadcast(last), F.col("file_id") == F.col("last"))
-    return lookup.scan(mine, order="seq")
+    return lookup.scan(last_generation(log_of(spark, sf_dir)), order="seq")
 
 
 def get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,9 +115,9 @@ def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tombstone_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose newest row is a tombstone while older runs hold values, and how many."""
-    cut = runs_of(spark, sf_dir)
-    dead = latest(cut, "file_id").where("is_deleted").select("key", F.col("file_id").alias("deleted_in"))
-    return dead.join(cut.where(~F.col("is_deleted")), "key").where("file_id < deleted_in").groupBy("key", "deleted_in").agg(F.count("*").alias("masked"))
+    newest = F.max_by("is_deleted", "file_id").alias("dead"), F.max("file_id").alias("deleted_in")
+    merged = runs_of(spark, sf_dir).groupBy("key").agg(*newest, F.count_if(~F.col("is_deleted")).alias("masked"))
+    return merged.where("dead and masked > 0").select("key", "deleted_in", "masked")
 
 
 def wal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,15 +131,80 @@ def wal_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.changes_of(wal.decode(lines, "file_id"), "file_id")
 
 
-TORN_LOG = [
-    '{"operation":"PUT","key":"key1","value":"val1","timestamp":1}', '{"operation":"PUT","key":"key2","value":"a \\"b\\"\\n\\u0001","timestamp":2}', "", '{"operation":"MERGE","key":"key2","value":"x","timestamp":3}',
-    '{"operation":"DELETE","key":"timestamp","value":"","timestamp":4}', '{"operation":"PUT","key":"key3","value":"incomplete', '{"operation":"PUT","key":"key4","value":"after","timestamp":6}',
-]
+def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of a thousand events each, of which one line is broken off wherever an event is of a user divisible by 50."""
+    log = log_of(spark, sf_dir)
+    broken = F.substring_index(F.col("key"), "_", -1).cast("bigint") % 50 == 0
+    lines = wal.encode(log.withColumn("kept", ~broken), "timestamp").join(log.select("seq", "file_id", broken.alias("broken")), "seq")
+    cut = F.when(F.col("broken"), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    return wal.changes_of(wal.decode(lines.select("file_id", F.col("seq").alias("pos"), cut.alias("line")), "file_id"), "file_id")
 
 
-def wal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(TORN_LOG)), "pos int, line string")
-    return wal.changes_of(wal.decode(lines))
+def last_generation(log: DataFrame) -> DataFrame:
+    last = log.agg(F.max("file_id").alias("last"))  # one row
+    return log.join(F.broadcast(last), F.col("file_id") == F.col("last")).drop("last")
+
+
+def wal_file_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last generation written as a log file, with a torn line after it and one more, and read back."""
+    folder, files = scratch(spark, "log"), Files(spark)
+    wal.write(last_generation(log_of(spark, sf_dir)), folder)
+    part = next(name for name in files.names(folder) if name.startswith("part-"))
+    text = files.read(f"{folder}/{part}")
+    files.publish(f"{folder}/log", text + '{"operation":"PUT","key":"torn","value":"inc' + "\n" + text.split("\n", 1)[0] + "\n")
+    return wal.recover(spark, f"{folder}/log")
+
+
+def run_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs written as sorted files, and of these the keys of a range read back."""
+    folder = scratch(spark, "runs")
+    runs.write(runs_of(spark, sf_dir), folder, keys_per_run=PER_RUN)
+    return runs.read(spark, folder).where((F.col("key") >= "user_1") & (F.col("key") < "user_3"))
+
+
+def three_runs(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of three flushed runs, events dealt in turn."""
+    db = Store(spark, scratch(spark, "store"), write_buffer_bytes=1 << 62)
+    log = log_of(spark, sf_dir)
+    for third in range(3):
+        db.write(log.where(F.col("seq") % 3 == third).select("seq", "key", "value", "is_deleted"))
+        db.flush()
+    return db
+
+
+def manifest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store opened again reads from its manifest, newest run first."""
+    return Store(spark, three_runs(spark, sf_dir).folder).run_list()
+
+
+def store_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two flushed runs and a log, opened again: the state of all."""
+    db = Store(spark, scratch(spark, "store"), write_buffer_bytes=1 << 62)
+    log = log_of(spark, sf_dir)
+    for part in (F.col("file_id") < 3, F.col("file_id").between(3, 5), F.col("file_id") > 5):
+        if db.next_seq:
+            db.flush()
+        db.write(log.where(part).select("seq", "key", "value", "is_deleted"))
+    return Store(spark, db.folder, write_buffer_bytes=1 << 62).scan()
+
+
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two newer runs compacted with their tombstones, then all without, and opened again."""
+    db = three_runs(spark, sf_dir)
+    db.compact(purge_tombstones=False, file_ids=[1, 2])
+    db.compact()
+    return Store(spark, db.folder).scan().select("key", "value")
+
+
+def bloom_stored_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups in those runs only whose stored filter lets a key through: key, runs that may hold it, runs that do."""
+    cut, folder = runs_of(spark, sf_dir), scratch(spark, "filters")
+    bits, hashes = bloom.parameters(PER_RUN)
+    bloom.packed(bloom.build(cut, bits, hashes, "file_id"), "file_id").write.parquet(folder)
+    stored = bloom.unpacked(spark.read.parquet(folder), "file_id")
+    maybe = bloom.probe(wanted(spark), stored, bits, hashes, "file_id").where("may_contain")
+    held = cut.select("file_id", "key", F.lit(1).alias("held"))
+    return maybe.join(held, ["file_id", "key"], "left").groupBy("key").agg(F.count("*").alias("passed"), F.count("held").alias("held"))
 
 
 def recovered_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,31 +243,35 @@ def bloom_pruned_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repl_asof_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views are lookups in a script of all events."""
-    log = log_of(spark, sf_dir).join(events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type"), "seq")
+    log = changelog.from_events(events(spark, sf_dir), 1000, "event_type")
     verb = F.when(F.col("event_type") == "view", "GET").when(F.col("is_deleted"), "DELETE").otherwise("PUT")
     return lookup.asof_get(log.select("seq", verb.alias("verb"), "key", "value"))
 
 
-SCRIPT = ["PUT k1  a  b ", "get k1", "  ", "GET k2", "del k1", "GET k1 ignored", "PUT k1", "PUT", "DELETE", "get", "Put K1 x", "GET K1", "GET k1", "frob x", "DELETE k9", "GET k9", "quit", "PUT k1 late"]
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script of all events: verbs in odd cases and blanks, missing arguments, unknown verbs, blank lines, and QUIT at event 9000."""
+    log = changelog.from_events(events(spark, sf_dir), 1000, "event_type")
+    key, kind = F.col("key"), F.col("event_type")
+    line = (
+        F.when(F.col("seq") == 9000, "qUit").when(F.col("seq") % 97 == 0, " \t ").when(F.col("seq") % 89 == 0, F.concat(F.lit("frob "), key)).when(F.col("seq") % 83 == 0, F.concat(F.lit("PUT "), key)).when(F.col("seq") % 79 == 0, "get")
+        .when(kind == "view", F.concat(F.lit("  get  "), key, F.lit(" more"))).when(kind == "error", F.concat(F.when(F.col("seq") % 2 == 0, "DEL ").otherwise("delete "), key)).otherwise(F.concat(F.lit("Put "), key, F.lit("   "), kind, F.lit("  "), F.col("seq").cast("string"), F.lit(" \t")))
+    )
+    return log.select("seq", line.alias("line"))
 
 
 def repl_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script.answers(spark.createDataFrame(list(enumerate(SCRIPT)), "seq int, line string"))
+    return script.answers(script_lines(spark, sf_dir))
 
 
 def threshold_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four stores, keys dealt by hash, each flushed at its write buffer's threshold."""
-    log = log_of(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(4)))
-    return memory.threshold_flush(log)
+    """Stores, keys dealt by their number, each flushed at its write buffer's threshold."""
+    log = log_of(spark, sf_dir)
+    return memory.threshold_flush(log.withColumn("shard", F.substring_index("key", "_", -1).cast("bigint") % SHARDS))
 
 
 def streaming_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log read as a stream, until there is no more, into a table."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at, source = f"{root}/stream-{uuid.uuid4().hex}", f"{sf_dir}/events.parquet"
+    at, source = scratch(spark, "stream"), f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     folder, name = source.rsplit("/", 1)
     stream = spark.readStream.schema(schema).parquet(source) if _is_folder(spark, source) else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
@@ -228,13 +299,13 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         put_delete_log, flush_runs, compact_purge, compact_keep_tombstones, compact_partial_purge, count_incl_tombstones, versions_per_key, superseded_rows, manifest_list, run_footer, sparse_index,
-        memtable_memory, memtable_scan, get_many, get_one, answered_by, seek_scan, range_scan, tombstone_masking, wal_encode, wal_round_trip, wal_recover, recovered_state, bloom_bits, bloom_fpr,
+        memtable_memory, memtable_scan, get_many, get_one, answered_by, seek_scan, range_scan, tombstone_masking, wal_encode, wal_round_trip, wal_recover, wal_file_recover, run_write_read, manifest_load, store_reopen, store_compacted, recovered_state, bloom_bits, bloom_fpr, bloom_stored_get,
         bloom_round_trip, bloom_pruned_get, repl_asof_get, repl_script, threshold_flush, streaming_latest, conversation_latest,
     )
 }
 
 _LOG = """log AS (SELECT event_id AS seq, event_type = 'error' AS is_deleted, 'user_' || CAST(user_id AS VARCHAR) AS key,
-    CASE WHEN event_type = 'error' THEN '' ELSE event_type || ':' || props END AS value, CAST(floor(event_id / 1000) AS BIGINT) AS file_id, event_type FROM events)"""
+    CASE WHEN event_type = 'error' THEN '' ELSE event_type || ':' || coalesce(props, '') END AS value, CAST(floor(event_id / 1000) AS BIGINT) AS file_id, event_type, user_id FROM events)"""
 _RUN = f"""{_LOG}, run AS (SELECT file_id, key, value, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY file_id, key ORDER BY seq DESC) rn FROM log) t WHERE rn = 1)"""
 _CUR = f"""{_RUN}, cur AS (SELECT key, value, is_deleted, file_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file_id DESC) rn FROM run) t WHERE rn = 1)"""
 _WANTED = "wanted AS (SELECT unnest(['user_1', 'user_2', 'user_10', 'user_77', 'user_149', 'nobody', '', 'user_']) AS key)"
@@ -244,6 +315,15 @@ _H2 = f"(CAST('0x' || substr(md5(key), 16, 15) AS BIGINT) % {BITS})"
 _BIT = f"({_H1} + i * (CASE WHEN {_H2} = 0 THEN 1 ELSE {_H2} END)) % {BITS}"
 _I = f"(SELECT unnest(range({HASHES})) AS i)"
 _BLOOM = f"WITH {_RUN} SELECT DISTINCT file_id, {_BIT} AS bit FROM run, {_I}"
+_QUIT = 9000
+_SCRIPT = f"""{_LOG}, typed AS (SELECT seq, key, value, event_type, CASE WHEN seq = {_QUIT} THEN 'QUIT' WHEN seq % 97 = 0 THEN '' WHEN seq % 89 = 0 THEN 'frob' WHEN seq % 83 = 0 THEN 'PUT?' WHEN seq % 79 = 0 THEN 'GET?'
+    WHEN event_type = 'view' THEN 'GET' WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS verb FROM log WHERE seq <= {_QUIT})"""
+_GENERATIONS = f"""{_LOG}, sized AS (SELECT *, user_id % {SHARDS} AS shard, 112 + strlen(key) + strlen(value) AS fresh, strlen(value) AS held FROM log),
+    grown AS (SELECT shard, CAST(-1 AS INTEGER) AS generation, CAST(-1 AS BIGINT) AS start, CAST(-1 AS BIGINT) AS stop FROM (SELECT DISTINCT shard FROM sized) t
+      UNION ALL SELECT shard, generation + 1, stop, min(seq) FILTER (WHERE total >= 4096)
+      FROM (SELECT *, sum(delta) OVER (PARTITION BY shard ORDER BY seq) AS total
+        FROM (SELECT s.seq, s.shard, g.generation, g.stop, CASE WHEN lag(s.held) OVER w IS NULL THEN s.fresh ELSE s.held - lag(s.held) OVER w END AS delta
+          FROM grown g JOIN sized s ON s.shard = g.shard AND s.seq > g.stop WINDOW w AS (PARTITION BY s.shard, s.key ORDER BY s.seq)) d) t GROUP BY shard, generation, stop)"""
 _CONTROL = "chr(8)", "chr(12)", "chr(10)", "chr(13)", "chr(9)"
 
 
@@ -254,13 +334,6 @@ def _json(text: str) -> str:
     return text
 
 
-def _values(rows: list[tuple], *names: str) -> str:
-    def literal(x: object) -> str:
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({', '.join(names)})"
-
-
 ORACLE_SQL: dict[str, str] = {
     "put_delete_log": f"WITH {_LOG} SELECT seq, key, value, is_deleted, file_id FROM log",
     "flush_runs": f"WITH {_RUN} SELECT * FROM run",
@@ -284,7 +357,13 @@ ORACLE_SQL: dict[str, str] = {
     "tombstone_masking": f"WITH {_CUR} SELECT c.key, c.file_id AS deleted_in, count(*) AS masked FROM cur c JOIN run r ON r.key = c.key AND r.file_id < c.file_id WHERE c.is_deleted AND NOT r.is_deleted GROUP BY c.key, c.file_id",
     "wal_encode": f"""WITH {_LOG} SELECT seq, '{{"operation":"' || CASE WHEN is_deleted THEN 'DELETE' ELSE 'PUT' END || '","key":"' || {_json("key")} || '","value":"' || {_json("value")} || '","timestamp":' || CAST(seq * 1000 AS VARCHAR) || '}}' AS line FROM log""",
     "wal_round_trip": f"WITH {_LOG} SELECT file_id, seq, key, value, is_deleted FROM log",
-    "wal_recover": "SELECT CAST(0 AS BIGINT) AS seq, 'key1' AS key, 'val1' AS value, false AS is_deleted UNION ALL SELECT 1, 'key2', 'a \"b\"' || chr(10) || chr(1), false UNION ALL SELECT 4, 'timestamp', '', true",
+    "wal_recover": f"WITH {_LOG}, torn AS (SELECT file_id, min(seq) AS torn FROM log WHERE user_id % 50 = 0 GROUP BY file_id) SELECT file_id, seq, key, value, is_deleted FROM log LEFT JOIN torn USING (file_id) WHERE torn IS NULL OR seq < torn",
+    "wal_file_recover": f"WITH {_LOG} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, key, value, is_deleted FROM log WHERE file_id = (SELECT max(file_id) FROM log)",
+    "run_write_read": f"WITH {_RUN} SELECT file_id, key, value, is_deleted FROM run WHERE key >= 'user_1' AND key < 'user_3'",
+    "manifest_load": "SELECT CAST(2 - n AS INTEGER) AS ordinal, 'data_' || CAST(2 - n AS VARCHAR) AS path, CAST(2 - n AS BIGINT) AS file_id FROM range(3) t(n)",
+    "store_reopen": f"WITH {_CUR} SELECT key, value, is_deleted FROM cur",
+    "store_compacted": f"WITH {_LOG} SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq % 3 DESC, seq DESC) rn FROM log) t WHERE rn = 1 AND NOT is_deleted",
+    "bloom_stored_get": f"WITH {_RUN}, {_WANTED}, bits AS (SELECT DISTINCT file_id, {_BIT} AS bit FROM run, {_I}), asked AS (SELECT DISTINCT key, {_BIT} AS bit FROM wanted, {_I}), passed AS (SELECT key, file_id FROM asked JOIN bits USING (bit) GROUP BY key, file_id HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.key = asked.key)) SELECT p.key, count(*) AS passed, count(r.key) AS held FROM passed p LEFT JOIN run r ON r.key = p.key AND r.file_id = p.file_id GROUP BY p.key",
     "recovered_state": f"WITH {_CUR} SELECT key, value, is_deleted FROM cur",
     "bloom_bits": _BLOOM,
     "bloom_fpr": f"""WITH added AS (SELECT DISTINCT {_BIT} AS bit FROM (SELECT 'inserted_key_' || CAST(n AS VARCHAR) AS key FROM range(1000) t(n)), {_I}),
@@ -295,12 +374,11 @@ ORACLE_SQL: dict[str, str] = {
     "repl_asof_get": f"""WITH {_LOG}, marked AS (SELECT *, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS v, CASE WHEN event_type = 'view' THEN NULL ELSE is_deleted END AS d FROM log),
         seen AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS lv, last_value(d IGNORE NULLS) OVER w AS ld FROM marked WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT seq, key, CASE WHEN ld IS NULL THEN 'ABSENT' WHEN ld THEN 'DELETED' ELSE 'FOUND' END AS status, CASE WHEN ld IS NULL OR ld THEN '' ELSE lv END AS value FROM seen WHERE event_type = 'view'""",
-    "repl_script": _values(
-        [
-            (0, "OK"), (1, '"a  b"'), (3, "(nil)"), (4, "OK"), (5, "(error) Key marked as deleted"), (6, "(error) Usage: PUT <key> <val>"), (7, "(error) Usage: PUT <key> <val>"), (8, "(error) Usage: DEL <key>"),
-            (9, "(error) Usage: GET <key>"), (10, "OK"), (11, '"x"'), (12, "(error) Key marked as deleted"), (13, "(error) Unknown command: frob"), (14, "OK"), (15, "(error) Key marked as deleted"),
-        ], "seq", "output",
-    ),
+    "repl_script": f"""WITH {_SCRIPT}, marked AS (SELECT *, CASE verb WHEN 'PUT' THEN event_type || '  ' || CAST(seq AS VARCHAR) WHEN 'DELETE' THEN '' END AS v, CASE verb WHEN 'PUT' THEN false WHEN 'DELETE' THEN true END AS d FROM typed),
+        seen AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS lv, last_value(d IGNORE NULLS) OVER w AS ld FROM marked WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT seq, CASE verb WHEN 'QUIT' THEN 'Bye!' WHEN 'frob' THEN '(error) Unknown command: frob' WHEN 'PUT?' THEN '(error) Usage: PUT <key> <val>' WHEN 'GET?' THEN '(error) Usage: GET <key>' WHEN 'GET' THEN CASE WHEN ld IS NULL THEN '(nil)' WHEN ld THEN '(error) Key marked as deleted' ELSE '"' || lv || '"' END ELSE 'OK' END AS output FROM seen WHERE verb <> ''""",
+    "threshold_flush": f"""WITH RECURSIVE {_GENERATIONS}, placed AS (SELECT s.shard, g.generation, g.stop AS flush_seq, s.key, s.value, s.is_deleted, row_number() OVER (PARTITION BY s.shard, g.generation, s.key ORDER BY s.seq DESC) AS rn
+        FROM grown g JOIN sized s ON s.shard = g.shard AND s.seq > g.start AND s.seq <= coalesce(g.stop, 9223372036854775807) WHERE g.generation >= 0) SELECT shard, generation, flush_seq, key, value, is_deleted FROM placed WHERE rn = 1""",
     "streaming_latest": f"WITH {_LOG} SELECT key, value, is_deleted, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) rn FROM log) t WHERE rn = 1",
     "conversation_latest": "SELECT 'conv_' || CAST(conv_id AS VARCHAR) AS key, role || ':' || coalesce(text, '') AS value, turn AS seq FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) rn FROM conversations) t WHERE rn = 1",
 }

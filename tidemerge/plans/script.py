@@ -10,7 +10,7 @@ from ..operators.lookup import asof_get
 from ..schema import ABSENT, DELETED
 
 #: What a shell prints.
-OK, NIL, MARKED = "OK", "(nil)", "(error) Key marked as deleted"
+OK, NIL, MARKED, BYE = "OK", "(nil)", "(error) Key marked as deleted", "Bye!"
 USAGE_PUT, USAGE_GET, USAGE_DEL = "(error) Usage: PUT <key> <val>", "(error) Usage: GET <key>", "(error) Usage: DEL <key>"
 UNKNOWN = "(error) Unknown command: "
 
@@ -26,12 +26,17 @@ def parsed(lines: DataFrame) -> DataFrame:
         trimmed(F.regexp_extract("text", r"(?s)^\S+\s+\S+(.*)$", 1)).alias("value"),
     )
     named = parts.withColumn("verb", F.upper("word")).withColumn("verb", F.when(F.col("verb") == "DEL", "DELETE").otherwise(F.col("verb")))
-    end = named.where(F.col("verb").isin("EXIT", "QUIT")).agg(F.min("seq").alias("end"))  # one row
+    end = ended(named)
     return named.join(F.broadcast(end)).where(F.col("end").isNull() | (F.col("seq") < F.col("end"))).drop("end")
 
 
+def ended(commands: DataFrame) -> DataFrame:
+    """end: where the first EXIT or QUIT stands, null without one."""
+    return commands.where(F.col("verb").isin("EXIT", "QUIT")).agg(F.min("seq").alias("end"))
+
+
 def answers(lines: DataFrame) -> DataFrame:
-    """seq, output: what each line of a script prints. A GET sees the writes above it."""
+    """seq, output: what each line of a script prints, EXIT or QUIT included. A GET sees the writes above it."""
     commands = parsed(lines)
     valid = (F.col("key") != "") & ((F.col("verb") != "PUT") | (F.col("value") != ""))
     known = F.col("verb").isin("PUT", "GET", "DELETE")
@@ -42,4 +47,6 @@ def answers(lines: DataFrame) -> DataFrame:
     usage = F.when(F.col("verb") == "PUT", USAGE_PUT).when(F.col("verb") == "GET", USAGE_GET).otherwise(USAGE_DEL)
     wrong = commands.where(known & ~valid).select("seq", usage.alias("output"))
     unknown = commands.where(~known).select("seq", F.concat(F.lit(UNKNOWN), F.col("word")).alias("output"))
-    return reads.unionByName(writes).unionByName(wrong).unionByName(unknown)
+    verbs = lines.select("seq", F.upper(F.regexp_extract(trimmed(F.col("line")), r"^(\S+)", 1)).alias("verb"))
+    bye = ended(verbs).where("end IS NOT NULL").select(F.col("end").alias("seq"), F.lit(BYE).alias("output"))
+    return reads.unionByName(writes).unionByName(wrong).unionByName(unknown).unionByName(bye)

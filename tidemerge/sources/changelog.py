@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def from_events(events: DataFrame, per_file: int = 1000) -> DataFrame:
-    """seq, key, value, is_deleted, file_id, timestamp: an event is a put to its user's key, an error a delete."""
+def from_events(events: DataFrame, per_file: int = 1000, *also: str) -> DataFrame:
+    """seq, key, value, is_deleted, file_id, timestamp: an event is a put to its user's key, an error a delete. A null props is an empty one; ``also`` names further columns to keep."""
     deleted = F.col("event_type") == "error"
     return events.select(
         F.col("event_id").alias("seq"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"),
-        F.when(deleted, F.lit("")).otherwise(F.concat("event_type", F.lit(":"), "props")).alias("value"), deleted.alias("is_deleted"),
-        F.floor(F.col("event_id") / per_file).cast("bigint").alias("file_id"), (F.col("event_id") * 1000).alias("timestamp"),
+        F.when(deleted, F.lit("")).otherwise(F.concat("event_type", F.lit(":"), F.coalesce("props", F.lit("")))).alias("value"), deleted.alias("is_deleted"),
+        F.floor(F.col("event_id") / per_file).cast("bigint").alias("file_id"), (F.col("event_id") * 1000).alias("timestamp"), *also,
     )
 
 

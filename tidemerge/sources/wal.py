@@ -10,10 +10,14 @@ from ..schema import WAL_RECORD
 
 
 def encode(changes: DataFrame, timestamp: str = "timestamp") -> DataFrame:
-    """seq, line: one JSON object for each change (seq, key, value, is_deleted and a timestamp in nanoseconds)."""
-    operation = F.when(F.col("is_deleted"), "DELETE").otherwise("PUT")
-    value = F.when(F.col("is_deleted"), F.lit("")).otherwise(F.col("value"))
-    line = F.concat(F.lit('{"operation":'), quoted(operation), F.lit(',"key":'), quoted(F.col("key")), F.lit(',"value":'), quoted(value), F.lit(',"timestamp":'), F.col(timestamp).cast("string"), F.lit("}"))
+    """seq, line: one JSON object for each change (seq, key, value, is_deleted and a timestamp in nanoseconds).
+
+    A null value is written as the empty one; a null key or flag is an error.
+    """
+    operation = F.when(F.col("is_deleted"), "DELETE").when(~F.col("is_deleted"), "PUT").otherwise(F.raise_error(F.lit("a change without is_deleted")))
+    key = F.coalesce("key", F.raise_error(F.lit("a change without key")).cast("string"))
+    value = F.when(F.col("is_deleted"), F.lit("")).otherwise(F.coalesce("value", F.lit("")))
+    line = F.concat(F.lit('{"operation":'), quoted(operation), F.lit(',"key":'), quoted(key), F.lit(',"value":'), quoted(value), F.lit(',"timestamp":'), F.coalesce(F.col(timestamp), F.lit(0)).cast("string"), F.lit("}"))
     return changes.select("seq", line.alias("line"))
 
 
@@ -21,7 +25,8 @@ def decode(lines: DataFrame, *by: str) -> DataFrame:
     """Records of the lines (``by``, pos, line) before the first damaged one: ``by``, pos, operation, key, value, timestamp.
 
     A line is damaged if it is no JSON object or lacks one of the four fields; blank lines are passed over. Lines after a
-    damaged one are lost, as they may have been glued to it.
+    damaged one are lost, as they may have been glued to it. Each line is parsed once; a log (``by``) is bounded by a write
+    buffer and so can be looked at in one task.
     """
     schema = f"{WAL_RECORD}, _corrupt string"
     parsed = lines.where(F.col("line") != "").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
@@ -29,14 +34,9 @@ def decode(lines: DataFrame, *by: str) -> DataFrame:
     bad = F.col("r._corrupt").isNotNull()
     for field in fields:
         bad = bad | field.isNull()
-    marked = parsed.withColumn("bad", bad)
-    if by:
-        torn = marked.where("bad").groupBy(*by).agg(F.min("pos").alias("torn"))
-        kept = marked.join(torn, list(by), "left")
-    else:
-        torn = marked.where("bad").agg(F.min("pos").alias("torn"))  # one row
-        kept = marked.join(F.broadcast(torn))
-    return kept.where(F.col("torn").isNull() | (F.col("pos") < F.col("torn"))).select(*by, "pos", *fields)
+    torn = F.min(F.when(bad, F.col("pos"))).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    marked = parsed.withColumn("torn", torn)
+    return marked.where(F.col("torn").isNull() | (F.col("pos") < F.col("torn"))).select(*by, "pos", *fields)
 
 
 def changes_of(records: DataFrame, *by: str) -> DataFrame:
@@ -64,7 +64,3 @@ def recover(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "seq bigint, key string, value string, is_deleted boolean")
     return changes_of(decode(read_lines(spark, path)))
 
-
-def numbered(lines: DataFrame, order: str) -> DataFrame:
-    """pos, line of encoded lines, numbered from 0 in order: for logs bounded by a write buffer."""
-    return lines.select((F.row_number().over(Window.orderBy(order)) - 1).alias("pos"), "line")
