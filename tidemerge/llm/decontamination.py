@@ -54,7 +54,7 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary")
 
 
-def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def groups_of(batches: Iterable[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their words one after another, words of each row), of about ``limit`` bytes."""
     fresh_worker()
     for batch in batches:
@@ -171,7 +171,8 @@ class Items:
     """A block of benchmark items: ids, words, the place where the answer starts, and latent vectors; shorter ones after ``whole`` others.
 
     known: the words of all items, in order; member: a row for each of them behind a first one of zeros, 1 for the items that have it;
-    places: the rows of each item's words, and how often it has each."""
+    places: the rows of each item's words, and how often it has each; holders: where the items of each row begin in a list, and that
+    list, of items that aren't short."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -183,6 +184,7 @@ class Items:
     member: np.ndarray
     whole: int
     places: list[tuple[np.ndarray, np.ndarray]]
+    holders: tuple[np.ndarray, np.ndarray]
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """The row of each word, 0 for words of no item."""
@@ -278,10 +280,12 @@ def _items(rows: pa.Table, basis: np.ndarray) -> Items:
     maybe = np.zeros(1 << 16, bool)
     maybe[known & 0xFFFF] = True
     member = np.zeros((len(known) + 1, len(words)), np.uint8)
-    items = Items(np.array([i for i, _ in found], np.int64), words, [len(w) - min(len(w), max(4, len(w) // 4)) for w in words], np.array(latent, np.float32).reshape(-1, RANK), [Counter(w.tolist()) for w in words], known, maybe, member, sum(len(w) >= LEAST_WORDS for w in words), [])
+    items = Items(np.array([i for i, _ in found], np.int64), words, [len(w) - min(len(w), max(4, len(w) // 4)) for w in words], np.array(latent, np.float32).reshape(-1, RANK), [Counter(w.tolist()) for w in words], known, maybe, member, sum(len(w) >= LEAST_WORDS for w in words), [], (np.zeros(0), np.zeros(0)))
     for i, own in enumerate(words):
         items.places.append(np.unique(items.rows(own), return_counts=True))
         member[items.places[i][0], i] = 1
+    held, whose = np.nonzero(member[:, : items.whole])
+    items.holders = np.searchsorted(held, np.arange(len(member) + 1)), whose
     return items
 
 
@@ -347,44 +351,72 @@ def _counted(items: Items, codes: np.ndarray, starts: np.ndarray, ends: np.ndarr
     """(window, item, words of the window) of windows in which at least ``least_common`` of an item's words can be.
 
     A copy of n words, with words put in or not, may take 2 n (WINDOWS[0] at least), and start anywhere in a window's first step.
+    Frequent words count no more often than the item has such; where they can't be enough, rare words alone tell which windows
+    to look at more closely.
     """
     if not len(sizes):
         return
-    row, member = items.rows(codes), items.member[:, : items.whole]
+    row = items.rows(codes)
     often = np.bincount(row, minlength=len(items.member)) > FREQUENT * len(codes)
     often[0] = False
-    length = -(-np.maximum(WINDOWS[0], 2 * sizes) // STEP) + 1
-    small = np.uint16 if length.max() * STEP < 1 << 16 else np.uint32  # sums may overflow: differences of windows don't
-    totals = []
-    for kept in (np.flatnonzero(often[row]), np.flatnonzero((row > 0) & ~often[row])):
-        total = np.zeros((len(starts) + 1, len(sizes)), small)
-        step = np.searchsorted(starts, kept, "right") - 1
-        edges = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(kept) else kept
-        for a in range(0, len(edges), 512):
-            some = edges[a : a + 512]
-            words = row[kept[some[0] : edges[a + 512] if a + 512 < len(edges) else len(kept)]]
-            total[step[some] + 1] = np.add.reduceat(member[words], some - some[0], axis=0, dtype=np.uint8)
-        totals.append(np.cumsum(total, axis=0, dtype=small, out=total))
     most = np.array([int(times[often[own]].sum()) for own, times in items.places[: items.whole]])  # frequent words of each item
-    least = np.ceil(least_common * sizes - 1e-9).astype(np.int32)
+    least = np.ceil(least_common * sizes - 1e-9).astype(np.int64)
+    length = -(-np.maximum(WINDOWS[0], 2 * sizes) // STEP) + 1
+    rare = _rare_sums(items, row, often, starts, len(sizes))
+    bare = np.flatnonzero(most >= least)  # items that may be there without any rare word
+    frequent = _frequent_sums(items.member[:, bare], row, often, starts) if len(bare) else None
     at, place, bounds = np.arange(len(starts)), np.zeros(len(items.member), np.int64), np.append(starts, len(codes))
     for n in np.unique(length):
-        mine = np.flatnonzero(length == n)
         last = np.minimum(at + n, ends)
-        frequent, rare = (t[last][:, mine] - t[:-1, mine] for t in totals)
-        enough = (np.minimum(frequent, most[mine].astype(small)) + rare >= least[mine].astype(small)).T
-        for k in np.flatnonzero(enough.any(1)):
+        for i in np.flatnonzero(length == n).tolist():
+            held = rare[i][last] - rare[i][:-1]
+            need = int(least[i] - most[i])
+            if need <= 0:
+                column = frequent[int(np.searchsorted(bare, i))]
+                enough = np.minimum(column[last] - column[:-1], most[i]) + held >= least[i]
+            else:
+                enough = held >= need
+            found = np.flatnonzero(enough)
+            if not len(found):
+                continue
             # a word counts as often as the item has it
-            i, found = int(mine[k]), np.flatnonzero(enough[k])
             own, times = items.places[i]
             place[own] = np.arange(1, len(own) + 1)
-            inside = bounds[found, None] + np.arange(int(n) * STEP)
-            words = np.where(inside < bounds[last[found], None], place[row[np.minimum(inside, len(codes) - 1)]], 0)
+            for k in range(0, len(found), 4096):
+                some = found[k : k + 4096]
+                inside = bounds[some, None] + np.arange(int(n) * STEP)
+                words = np.where(inside < bounds[last[some], None], place[row[np.minimum(inside, len(codes) - 1)]], 0)
+                words += np.arange(len(some))[:, None] * (len(own) + 1)
+                counts = np.bincount(words.ravel(), minlength=len(some) * (len(own) + 1)).reshape(len(some), -1)[:, 1:]
+                for w in some[np.minimum(counts, times).sum(1) >= least[i]]:
+                    yield int(w), i, int(n) * STEP
             place[own] = 0
-            words += np.arange(len(found))[:, None] * (len(own) + 1)
-            held = np.bincount(words.ravel(), minlength=len(found) * (len(own) + 1)).reshape(len(found), -1)[:, 1:]
-            for w in found[np.minimum(held, times).sum(1) >= least[i]]:
-                yield int(w), i, int(n) * STEP
+
+
+def _rare_sums(items: Items, row: np.ndarray, often: np.ndarray, starts: np.ndarray, n_items: int) -> np.ndarray:
+    """For each item, its words that aren't frequent, added up over the steps from the first on."""
+    kept = np.flatnonzero((row > 0) & ~often[row])
+    first, whose = items.holders
+    r = row[kept]
+    sizes = first[r + 1] - first[r]
+    step = np.repeat(np.searchsorted(starts, kept, "right") - 1, sizes)
+    item = whose[np.repeat(first[r] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    width = len(starts) + 1
+    total = np.bincount(item * width + step + 1, minlength=n_items * width).reshape(n_items, width)
+    return np.cumsum(total, axis=1, dtype=np.int32)
+
+
+def _frequent_sums(member: np.ndarray, row: np.ndarray, often: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """As ``_rare_sums``, of frequent words, for the items that are the columns of ``member``."""
+    kept = np.flatnonzero(often[row])
+    total = np.zeros((len(starts) + 1, member.shape[1]), np.int32)
+    step = np.searchsorted(starts, kept, "right") - 1
+    edges = np.flatnonzero(np.append(True, step[1:] != step[:-1])) if len(kept) else kept
+    for a in range(0, len(edges), 512):
+        some = edges[a : a + 512]
+        words = row[kept[some[0] : edges[a + 512] if a + 512 < len(edges) else len(kept)]]
+        total[step[some] + 1] = np.add.reduceat(member[words], some - some[0], axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(np.cumsum(total, axis=0, dtype=np.int32).T)
 
 
 def _sums(basis: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
