@@ -52,6 +52,14 @@ def dropped(*done: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark delete the shuffle files of jobs that are done."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_of(schema: str) -> pa.Schema:
     """The Arrow schema of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

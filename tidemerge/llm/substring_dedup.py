@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, fresh_worker, named, parts, record_batch, saved, slim
+from .common import arrow_of, dropped, fresh_worker, named, parts, record_batch, saved, settled, slim
 
 _WIDE = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 #: Sentences end at ., !, ?, the ellipsis, danda and Arabic marks before white space, at full-width marks, at line ends, and before a
@@ -86,10 +86,12 @@ def _runs(docs: DataFrame, run: int, longest: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, run: int = RUN, longest: int = LONGEST) -> DataFrame:
     """(id, key, covers): for each document (doc_id, key, text) with later places of repeated runs, the sentences at which these start."""
-    runs = saved(_runs(docs, run, longest))
-    each = runs.select("id", "key", F.posexplode(F.arrays_zip("h1", "h2", "again")).alias("start", "r")).select("id", "key", "start", "r.h1", "r.h2", "r.again")
+    spark, runs = docs.sparkSession, saved(_runs(docs, run, longest))
+    numbered = runs.withColumn("n", F.monotonically_increasing_id())  # the table is saved, so that numbers stay
+    each = numbered.select("n", "id", "key", F.posexplode(F.arrays_zip("h1", "h2", "again")).alias("start", "r")).select("n", "id", "key", "start", "r.h1", "r.h2", "r.again")
     # counts and first places are sums and minima, made map-side before the shuffle
     first = saved(each.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min("id").alias("first")).where("places > 1"))
+    settled(spark)
     # runs in over ``cut`` places are HOT at most; of the others none has more than 2 / HOT of all places: no hot key of the join
     sizes = first.groupBy(F.ceil(F.log2("places")).cast("int").alias("power")).agg(F.count("*").alias("runs")).collect()  # a row a power of two
     above, cut = 0, 1
@@ -100,14 +102,18 @@ def repeated_runs(docs: DataFrame, run: int = RUN, longest: int = LONGEST) -> Da
             break
     hot = each.join(F.broadcast(first.where(F.col("places") > cut)), ["h1", "h2"])
     placed = hot.unionByName(each.join(first.where(F.col("places") <= cut), ["h1", "h2"])) if cut > 1 else hot
-    later = placed.where(F.col("again") | (F.col("id") > F.col("first"))).select("id", "key", "start")
+    later = placed.where(F.col("again") | (F.col("id") > F.col("first"))).select("n", "start")
     # documents of one id, or of none, are told apart by their texts
     shared = saved(runs.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("id"))
     if not shared.isEmpty():
         twins = each.join(shared, "id")
         lowest = twins.groupBy("h1", "h2", "id").agg(F.min("key").alias("lowest"))
-        later = later.unionByName(twins.join(lowest, ["h1", "h2", "id"]).where(F.col("key") > F.col("lowest")).select("id", "key", "start"))
-    return later.groupBy("id", "key").agg(F.collect_list("start").alias("covers"))
+        later = later.unionByName(twins.join(lowest, ["h1", "h2", "id"]).where(F.col("key") > F.col("lowest")).select("n", "start"))
+    covers = later.groupBy("n").agg(F.collect_list("start").alias("covers"))
+    found = saved(covers.join(numbered.select("n", "id", "key"), "n").dropDuplicates(["id", "key"]).select("id", "key", "covers"))
+    dropped(runs, first, shared)
+    settled(spark)
+    return found
 
 
 def without_sentences(text: str, starts: list[int], run: int = RUN, longest: int = LONGEST) -> tuple[str, list[tuple[int, int]], int]:
