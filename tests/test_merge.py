@@ -51,9 +51,32 @@ def test_seek_and_scan_in_byte_order(spark):
     runs = spark.createDataFrame([(1, k, k, False) for k in ("cherry", "apple", "date", "banana")] + [(2, "date", "", True)], RUN)
     assert [r.key for r in lookup.seek(runs, "blueberry", 2).collect()] == ["cherry", "date"]
     assert lookup.seek(runs, "z").collect() == []
+    assert [r.key for r in lookup.seek(runs, "blueberry", 2, versions=2).collect()] == ["cherry", "date"]
+    assert lookup.seek(runs, "z", versions=2).collect() == []
     assert [r.key for r in lookup.scan(runs, tombstones=False).collect()] == ["apple", "banana", "cherry"]
 
 
+def test_seek_looks_no_further_than_it_must(spark):
+    runs = spark.createDataFrame([(f, f"k{i:03}", f"{f}", (i + f) % 3 == 0) for i in range(200) for f in range(3) if (i * 7 + f) % 4], RUN)
+    for target, n in (("", 5), ("k050", 7), ("k198", 9), ("k07", 1)):
+        assert lookup.seek(runs, target, n, versions=3).collect() == lookup.seek(runs, target, n).collect()
+
+
+def test_lookups_across_blocks_equal_a_plain_loop(spark):
+    rng = random.Random(3)
+    script = [(i, rng.choice(["GET", "GET", "PUT", "DELETE"]), rng.choice(["hot", "hot", "a", "b", "c", None]), f"v{i}") for i in range(300)]
+    state, expected = {}, []
+    for seq, verb, key, value in script:
+        if verb == "GET":
+            status, held = state.get(key, ("ABSENT", ""))
+            expected.append((seq, key, status, held))
+        else:
+            state[key] = ("DELETED", "") if verb == "DELETE" else ("FOUND", value)
+    df = spark.createDataFrame(script, "seq bigint, verb string, key string, value string")
+    for block in (1, 7, 1000):
+        assert rows(lookup.asof_get(df, block)) == sorted(expected, key=repr)
+
+
 def test_answered_by_the_newest_run(spark):
     runs = spark.createDataFrame(THREE, RUN)
     wanted = spark.createDataFrame([("apple",), ("banana",), ("nothing",)], "key string")
@@ -107,6 +130,22 @@ def test_footer_and_sparse_index(spark):
     assert index[1][2] == sum(9 + 6 + len(f"value_{10 * i}") for i in range(16))
 
 
+def test_sparse_index_in_ranges_equals_a_plain_loop(spark):
+    rng = random.Random(8)
+    entries = sorted({(f, f"{rng.randrange(10**6)}é", "v" * rng.randrange(9), False) for f in (1, 2) for _ in range(300)}, key=lambda r: (r[0], r[1].encode()))
+    expected, at, place, own = [], 0, 0, None
+    for f, key, value, _ in entries:
+        if f != own:
+            at, place, own = 0, 0, f
+        if place % 16 == 0:
+            expected.append((f, key, at))
+        at, place = at + 9 + len(key.encode()) + len(value), place + 1
+    run = spark.createDataFrame(entries, RUN)
+    for ranges in (1, 5, 64):
+        assert rows(sparse_index(run, ranges=ranges)) == sorted(expected, key=repr)
+    assert rows(sparse_index(run.where("false"))) == []
+
+
 def test_runs_are_written_sorted_and_pushed_down(spark, tmp_path):
     path = str(tmp_path / "runs")
     run_files.write(spark.createDataFrame(THREE, RUN), path)

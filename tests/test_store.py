@@ -1,10 +1,11 @@
 import pytest
 from tables import rows
 
+from tidemerge.operators.merge import latest
 from tidemerge.plans.engine import Store
 from tidemerge.plans.script import answers
 from tidemerge.schema import CHANGE
-from tidemerge.streaming.memtable import run_once, to_runs
+from tidemerge.streaming.memtable import state_to_runs, to_runs
 
 
 SCRIPT = ["PUT k1  a  b ", "get k1", "  ", "GET k2", "del k1", "GET k1 ignored", "PUT k1", "PUT", "DELETE", "get", "Put K1 x", "GET K1", "GET k1", "frob x", "DELETE k9", "GET k9", "quit", "PUT k1 late"]
@@ -28,6 +29,7 @@ def test_masking_flush_restart_and_compaction(spark, tmp_path):
     third.compact()
     assert third.run_count() == 1 and third.get("user_100") == ("ABSENT", "")
     assert [r.key for r in Store(spark, folder).scan().collect()] == ["unflushed", "user_200"]
+    assert [r.key for r in Store(spark, folder).seek("user", 3).collect()] == ["user_200"]
 
 
 def test_automatic_flush(spark, tmp_path):
@@ -148,10 +150,10 @@ def test_streaming_state_equals_batch_and_is_robust_to_order(spark, tmp_path):
     for part in (log[50:], log[:50]):
         spark.createDataFrame(part, CHANGE).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(source)
-    run_once(stream, "state_of_test", str(tmp_path / "progress"))
+    state_to_runs(stream, str(tmp_path / "state"), str(tmp_path / "progress")).awaitTermination()
     expected = {k: (v, d) for _, k, v, d in log}
-    got = {r.key: (r.value, r.is_deleted) for r in spark.table("state_of_test").collect()}
-    assert got == expected
+    state = latest(spark.read.parquet(str(tmp_path / "state")), "file_id", "seq")
+    assert {r.key: (r.value, r.is_deleted) for r in state.collect()} == expected
     to_runs(stream, str(tmp_path / "runs"), str(tmp_path / "progress2")).awaitTermination()
     runs = spark.read.parquet(str(tmp_path / "runs"))
     assert runs.select("file_id").distinct().count() == 2 and runs.count() == 14

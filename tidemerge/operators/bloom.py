@@ -29,8 +29,10 @@ def positions(key: Column, bits: int, hashes: int) -> Column:
 
 
 def build(keys: DataFrame, bits: int, hashes: int, *by: str) -> DataFrame:
-    """The set bits (for each ``by``): a row for each, without repeats."""
-    return keys.select(*by, F.explode(positions(F.col("key"), bits, hashes)).alias("bit")).distinct()
+    """The set bits (for each ``by``): a row for each, without repeats. Each key is hashed once, below the explode."""
+    halves = keys.select(*by, _half(F.col("key"), 1, bits).alias("first"), _half(F.col("key"), 16, bits).alias("second"))
+    each = halves.select(*by, "first", F.greatest("second", F.lit(1)).alias("step"), F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))).alias("i"))
+    return each.select(*by, ((F.col("first") + F.col("i") * F.col("step")) % bits).alias("bit")).distinct()
 
 
 def probe(keys: DataFrame, filter_bits: DataFrame, bits: int, hashes: int, *by: str) -> DataFrame:

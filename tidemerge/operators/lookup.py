@@ -39,8 +39,16 @@ def scan(runs: DataFrame, low: str | None = None, high: str | None = None, *, to
     return (state if tombstones else state.where(~F.col("is_deleted"))).orderBy("key")
 
 
-def seek(runs: DataFrame, target: str, rows: int = 1, order: str = "file_id") -> DataFrame:
-    """The first ``rows`` keys from ``target`` on, tombstones among them."""
+def seek(runs: DataFrame, target: str, rows: int = 1, order: str = "file_id", *, versions: int | None = None) -> DataFrame:
+    """The first ``rows`` keys from ``target`` on, tombstones among them.
+
+    versions: how many rows a key can have, which is the number of runs. The first ``rows * versions`` rows then hold enough keys,
+    so only rows up to the last of these are merged; each task keeps no more than that. Without it all rows from ``target`` on are.
+    """
+    if versions is not None:
+        tail = runs.where(F.col("key") >= target)
+        last = tail.select("key").orderBy("key").limit(rows * max(1, versions)).agg(F.max("key"))
+        runs = tail.where(F.col("key") <= last.scalar())
     return scan(runs, low=target, order=order).limit(rows)
 
 
@@ -59,14 +67,25 @@ def answered_by(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("key", "file_id", F.col("n").alias("probes"))
 
 
-def asof_get(script: DataFrame) -> DataFrame:
+#: Sequence numbers that ``asof_get`` takes as one block.
+BLOCK = 1 << 16
+
+
+def asof_get(script: DataFrame, block: int = BLOCK) -> DataFrame:
     """Lookups in an ordered script: each GET sees the last PUT or DELETE of its key before it.
 
-    script: seq, verb (PUT, DELETE or GET), key, value. Gives seq, key, status, value for the GET rows.
+    script: seq, verb (PUT, DELETE or GET), key, value. Gives seq, key, status, value for the GET rows. A key's rows are taken in
+    blocks of sequence numbers, each headed by what the blocks before it left, so that a key with a third of all rows is
+    spread over many tasks.
     """
-    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     write = F.col("verb") != "GET"
-    last = F.last(F.when(write, F.struct(F.col("value"), (F.col("verb") == "DELETE").alias("is_deleted"))), ignorenulls=True).over(before)
-    seen = script.withColumn("last", last).where(~write)
+    entry = F.when(write, F.struct(F.col("value"), (F.col("verb") == "DELETE").alias("is_deleted")))
+    commands = script.select("seq", "key", F.expr(f"seq div {block}").alias("block"), (~write).alias("asked"), entry.alias("entry"))
+    left = commands.groupBy("key", "block").agg(F.max_by("entry", F.when(~F.col("asked"), F.col("seq"))).alias("entry"))
+    earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = left.select(F.lit(None).cast(script.schema["seq"].dataType).alias("seq"), "key", "block", F.lit(False).alias("asked"), F.last("entry", ignorenulls=True).over(earlier).alias("entry"))
+    before = Window.partitionBy("key", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # heads, without seq, come first
+    last = F.last("entry", ignorenulls=True).over(before)
+    seen = commands.unionByName(heads.where("entry IS NOT NULL")).withColumn("last", last).where("asked")
     status = F.when(F.col("last").isNull(), ABSENT).when(F.col("last.is_deleted"), DELETED).otherwise(FOUND)
     return seen.select("seq", "key", status.alias("status"), F.when(status == FOUND, F.col("last.value")).otherwise("").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import INDEX_INTERVAL
@@ -15,16 +15,40 @@ def footers(runs: DataFrame) -> DataFrame:
     )
 
 
-def sparse_index(runs: DataFrame, interval: int = INDEX_INTERVAL) -> DataFrame:
+#: Key ranges that a run is numbered in, and rows looked at to choose their edges.
+RANGES, SAMPLE_ROWS = 64, 4096
+
+
+def edges(runs: DataFrame, ranges: int = RANGES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Ascending keys that cut the rows into about equal ranges, from the rows of the smallest hashes."""
+    sample = runs.select("key").orderBy(F.xxhash64("file_id", "key")).limit(sample_rows).collect()
+    keys = sorted((r.key for r in sample if r.key is not None), key=str.encode)
+    return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}, key=str.encode) if keys else []
+
+
+def range_of(key: Column, cuts: list[str], first: int = 0) -> Column:
+    """The number of the range that a key lies in, by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(key < cuts[mid], range_of(key, cuts[:mid], first)).otherwise(range_of(key, cuts[mid + 1 :], first + mid + 1))
+
+
+def sparse_index(runs: DataFrame, interval: int = INDEX_INTERVAL, ranges: int = RANGES) -> DataFrame:
     """file_id, key, off: every so-manieth entry of each run from the first on, and its byte offset.
 
-    A record takes nine bytes (two lengths of four, one flag) besides key and value. A run is a bounded file, sorted in one task.
+    A record takes nine bytes (two lengths of four, one flag) besides key and value. A run of any size is numbered in ranges of
+    its keys, each from the rows and bytes of the ranges before it, so that no run is sorted in one task.
     """
-    ordered = Window.partitionBy("file_id").orderBy("key")
     size = F.lit(9) + F.octet_length("key") + F.octet_length("value")
+    sized = runs.select("file_id", "key", size.cast("bigint").alias("size"), range_of(F.col("key"), edges(runs, ranges)).alias("range"))
+    before = Window.partitionBy("file_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sized.groupBy("file_id", "range").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    starts = totals.select("file_id", "range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "size")))
+    ordered = Window.partitionBy("file_id", "range").orderBy("key")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = runs.withColumn("n", F.row_number().over(ordered) - 1).withColumn("off", (F.sum(size).over(upto) - size).cast("bigint"))
-    return placed.where(F.col("n") % interval == 0).select("file_id", "key", "off")
+    placed = sized.withColumn("place", F.row_number().over(ordered) - 1).withColumn("end", F.sum("size").over(upto)).join(starts, ["file_id", "range"])
+    return placed.where((F.col("n_before") + F.col("place")) % interval == 0).select("file_id", "key", (F.col("size_before") + F.col("end") - F.col("size")).alias("off"))
 
 
 def manifest(runs: DataFrame) -> DataFrame:

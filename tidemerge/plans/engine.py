@@ -139,6 +139,10 @@ class Store:
     def scan(self, low: str | None = None, high: str | None = None) -> DataFrame:
         return lookup.scan(self.versions(), low, high)
 
+    def seek(self, target: str, rows: int = 1) -> DataFrame:
+        """The first keys from ``target`` on; a key has a row a run at most, and one in the write buffer."""
+        return lookup.seek(self.versions(), target, rows, versions=len(self.entries) + 1)
+
     def flush(self) -> None:
         """The write buffer as a new run: file first, then manifest, then the log goes. Tombstones are kept. Nothing to do if empty."""
         state = normalised(latest(self.memtable, "seq"))

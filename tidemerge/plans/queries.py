@@ -11,13 +11,13 @@ from ..operators import bloom, lookup, memory, run_metadata
 from ..operators.merge import compact, count_keys, latest, superseded, versions, without_tombstones
 from ..sources import changelog, runs, wal
 from ..sources.shared import Files, scratch
-from ..streaming.memtable import streaming_state
+from ..streaming.memtable import state_to_runs
 from . import script
 from .engine import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 BITS, HASHES = bloom.parameters()
-#: Sizes of the filters in the queries: keys of a run are a generation's at most; keys of all runs are counted.
+#: Keys of a run: a generation's at most. Filters of all runs are sized by a count.
 PER_RUN = 1000
 SHARDS = 4
 
@@ -106,7 +106,8 @@ def answered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seek_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.seek(runs_of(spark, sf_dir), "user_12x", 20)
+    cut = runs_of(spark, sf_dir)
+    return lookup.seek(cut, "user_12x", 20, versions=cut.select("file_id").distinct().count())
 
 
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +235,10 @@ def bloom_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bloom_pruned_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups that pass the filter of all keys first."""
+    """Lookups that pass the filter of all keys, sized by their number, first."""
     cut, asked = runs_of(spark, sf_dir), wanted(spark)
-    maybe = bloom.probe(asked, bloom.build(cut, BITS, HASHES), BITS, HASHES).where("may_contain").select("key")
+    bits, hashes = bloom.parameters(cut.agg(F.approx_count_distinct("key")).first()[0])
+    maybe = bloom.probe(asked, bloom.build(cut, bits, hashes), bits, hashes).where("may_contain").select("key")
     found = lookup.get_many(cut, maybe)
     return found.where("status <> 'ABSENT'")
 
@@ -270,18 +272,13 @@ def threshold_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streaming_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log read as a stream, until there is no more, into a table."""
+    """The log read as a stream, until there is no more, into runs of changed keys, and their merge."""
     at, source = scratch(spark, "stream"), f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     folder, name = source.rsplit("/", 1)
     stream = spark.readStream.schema(schema).parquet(source) if _is_folder(spark, source) else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    state = streaming_state(changelog.from_events(stream))
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/state")
-
-    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/state").select("key", "value", "is_deleted", "seq")
+    state_to_runs(changelog.from_events(stream), f"{at}/runs", f"{at}/progress").awaitTermination()
+    return latest(spark.read.parquet(f"{at}/runs"), "file_id", "seq").select("key", "value", "is_deleted", "seq")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
