@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs``, its rows dealt evenly over the cores if its scan has fewer tasks than there are cores.
+
+    A small table is often one row group, and so one task for all that follows. Results don't depend on it; larger tables, which
+    are scanned in many tasks, and results of a shuffle stay as they are.
+    """
+    plan, cores = docs._jdf.queryExecution().executedPlan(), docs.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName().startswith("AdaptiveSparkPlan") or plan.execute().getNumPartitions() >= cores:
+        return docs
+    return docs.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Only a local session without one gets its own."""
     context = spark.sparkContext

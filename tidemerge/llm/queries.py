@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from . import quality, toxicity
-from .common import held_out_fold, shared_folder, table
+from .common import dealt, held_out_fold, shared_folder, table
 from .decontamination import find_leaks
 from .langid import fit as fit_languages
 from .langid import identify
@@ -28,13 +28,17 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By a slot map that is dealt, stored, rebalanced to the sizes of the table, stored again and loaded."""
-    return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
+    return shard_documents(documents(spark, sf_dir), store=f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = identify(docs, fit_languages(docs))
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "lang_pred", "score")
 
@@ -42,19 +46,19 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(documents(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "score", "predicted")
 
@@ -66,17 +70,17 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = quality.grade(docs, quality.fit(docs, graded(table(spark, sf_dir, "labels"))))
     return out.select("doc_id", held_out_fold(out.doc_id).alias("held_out"), "expected_grade", "tails", "selected")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "n_links")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_documents(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+    out = encode_documents(documents(spark, sf_dir), piece_model(), with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
