@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of each document."""
-    return encode_documents(docs, piece_model()).drop("decoded")
+    return encode_documents(docs, piece_model(), with_text=False).drop("decoded")
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -44,6 +45,47 @@ def test_memo_is_bounded():
         assert len(small.memo) <= 60 and len(small.pairs) <= 200
 
 
+def test_memo_is_small():
+    with open(PATH, "rb") as file:
+        table = PrefixTableBpe(file.read())
+    rng, syllables = random.Random(5), ["ba", "lo", "mi", "tu", "ren", "sol", "ka", "des", "tion", "er"]
+    for _ in range(260):
+        table.encode(" ".join("".join(rng.choices(syllables, k=6)) for _ in range(1000)))
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (table.memo, table.memo.old, table.pairs))
+    assert held < 40 << 20
+
+
+def test_units_end_at_stops_and_lines():
+    text = "Gone.\nHe said².\tx. Gone.\x00Gone\n\n\nv2.0 e.g. ²². a.b"
+    units = TABLE.units.findall("▁" + text.replace(" ", "▁"))
+    assert "".join(units) == "▁" + text.replace(" ", "▁")
+    assert units[:4] == ["▁Gone", ".", "\n", "He"] and "Gone" in units
+    assert TABLE.encode(text) == LIBRARY.encode(text)
+
+
+def test_batches_are_not_held(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidemerge.llm import sentencepiece_bpe
+
+    sent = {}
+    monkeypatch.setattr(sentencepiece_bpe, "slim", lambda docs, **_: type("Docs", (), {"mapInArrow": lambda _, run, fields: sent.update(run=run)})())
+    encode_documents(spark.range(1), PATH, with_text=False)
+    before, held, sizes = pa.total_allocated_bytes(), [], []
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["word " * 2000] * 400)], ["doc_id", "text"])
+
+    for out in sent["run"](batches()):
+        sizes.append(sum(out.column("n_tokens").to_pylist()))
+        assert out.column("decoded").null_count == out.num_rows
+        del out
+    assert sum(sizes) == 3 * 400 * len(LIBRARY.encode("word " * 2000)) and max(sizes) < 1 << 20
+    assert max(held) < 1 << 20
+
+
 def test_documents(spark):
     docs = spark.createDataFrame([(1, "Hello wörld", 9), (2, None, 9), (3, "", 9), (1, "Hello wörld", 9), (None, "x\n", 9)], "doc_id long, text string, n_tokens int")
     out = encode_documents(docs, PATH).collect()

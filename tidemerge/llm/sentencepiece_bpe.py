@@ -6,8 +6,8 @@ where the candidate starts) and the candidate are compatible, that is, if their
 Ids are then read off backwards. One pass, no priority queue, linear in the length of the text.
 
 No piece holds the space mark after another character, so no merge crosses from a word to the next mark; nor does any
-cross from a word to a comma and the like. Text is therefore cut into such units, which are encoded independently and
-remembered in a bounded memo.
+cross from a word to a comma, a stop and the like, or to a line's end. Text is therefore cut into such units, which are encoded
+independently and remembered in a bounded memo.
 
 Defined results: null and empty texts give no ids and the empty text; characters without a piece become byte pieces; texts
 of any length are encoded whole. Rows with equal ids or texts are treated row by row. Other columns are ignored.
@@ -24,7 +24,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_of, kept_in_worker, parts, record_batch, slim
+from .common import arrow_of, kept_in_worker, record_batch, slim
+from .word_hashes import slices
 
 MARK = "▁"
 LAST = float("inf")
@@ -35,10 +36,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 class PrefixTableBpe:
     """An encoder and decoder for one BPE model with byte fallback.
 
-    model: the bytes of a ``.model`` file. memo_units: units remembered at most (each some 200 bytes).
+    model: the bytes of a ``.model`` file. memo_units: units remembered at most (each some 200 bytes), and half as many pairs of pieces.
     """
 
-    def __init__(self, model: bytes, memo_units: int = 400_000):
+    def __init__(self, model: bytes, memo_units: int = 200_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -216,14 +217,20 @@ class PrefixTableBpe:
 
 
 def _units_pattern(pieces: Iterable[str]) -> str:
-    """Cuts before marks, and between a letter and a sign that follows a letter in no piece. No join can cross such cuts."""
-    signs, joined = {c for piece in pieces for c in piece if not c.isalnum() and c not in MARK + "_"}, set()
+    """Cuts before marks, around ASCII characters of no piece, and between a letter and a sign that follows it in no piece. No join can cross such cuts."""
+    letter, known = r"[^\W\d_]", {c for piece in pieces for c in piece}
+    loose = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in known and not chr(i).isalnum() and chr(i) != "_")
+    before: dict[str, set[str]] = {c: set() for c in known if not c.isalnum() and c not in MARK + "_"}
     for piece in pieces:
-        joined |= {b for a, b in zip(piece, piece[1:], strict=False) if re.match(r"[^\W\d_]", a)}
-    after, letter = "".join(map(re.escape, sorted(signs - joined))), r"[^\W\d_]"
-    if not after:
-        return f"{MARK}*[^{MARK}]+|{MARK}+"
-    return rf"{MARK}*{letter}+(?![^{after}{MARK}])|{MARK}*[^{MARK}]+?(?:(?<={letter})(?=[{after}])|(?={MARK})|\Z)|{MARK}+"
+        for a, b in zip(piece, piece[1:], strict=False):
+            if b in before and re.match(letter, a):
+                before[b].add(a)
+    after = "".join(re.escape(c) for c in sorted(before) if not before[c])
+    cuts = [f"(?=[{after}])"] if after else []
+    cuts += [f"(?<![{''.join(map(re.escape, sorted(letters)))}])(?={re.escape(c)})" for c, letters in sorted(before.items()) if letters]
+    ends = [f"(?=[{MARK}{loose}])", r"\Z"]
+    inside = [f"(?<={letter})(?:{'|'.join(cuts)})"] * bool(cuts) + [f"(?<=[{loose}])"] * bool(loose)
+    return rf"{MARK}*{letter}+(?:{'|'.join(ends + cuts)})|{MARK}*[^{MARK}]+?(?:{'|'.join(ends + inside)})|{MARK}+"
 
 
 class _Memo(dict):
@@ -247,8 +254,8 @@ class _Memo(dict):
         self.clear()
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids (array, null unless with_ids), decoded (null unless with_ids), ids_sha256, decoded_sha256.
+def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids (array, null unless with_ids), decoded (null unless with_ids and with_text), ids_sha256, decoded_sha256.
 
     The model file is read by the driver and sent to the executors once (half a megabyte; its size is checked).
     """
@@ -264,22 +271,24 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
         table = kept_in_worker(("pieces", hash(sent.value)), lambda: PrefixTableBpe(sent.value))
         gc.disable()  # millions of small tuples without cycles
         try:
-            yield from encoded(table, parts(batches))
+            yield from encoded(table, batches)
         finally:
             gc.enable()
 
     def encoded(table: PrefixTableBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in target}
-            out["doc_id"] = batch.column("doc_id")
-            for text in batch.column("text"):
-                ids = table.encode(text.as_py())
-                data = table.decode_bytes(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids"].append(ids if with_ids else None)
-                out["decoded"].append(data.decode() if with_ids else None)
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(table.text_of_id.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
-            yield record_batch(target, out)
+            for part in slices(batch):
+                out: dict[str, list] = {f.name: [] for f in target}
+                out["doc_id"] = part.column("doc_id").to_pylist()  # a column would keep the whole batch
+                for text in part.column("text"):
+                    ids = table.encode(text.as_py())
+                    data = table.decode_bytes(ids)
+                    out["n_tokens"].append(len(ids))
+                    out["ids"].append(ids if with_ids else None)
+                    out["decoded"].append(data.decode() if with_ids and with_text else None)
+                    out["ids_sha256"].append(hashlib.sha256(",".join(map(table.text_of_id.__getitem__, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+                yield record_batch(target, out)
+            batch = part = text = None  # not held while the next batch is read
 
     return slim(docs, doc_id=id_col, text=text_col).mapInArrow(run, fields)
