@@ -63,3 +63,23 @@ def unpacked(blocks: DataFrame, *by: str) -> DataFrame:
     spread = each.select(*by, "base", "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     is_set = F.expr("shiftright(v, k) & 1") == 1
     return spread.where(is_set).select(*by, (F.col("base") + F.col("k")).cast("bigint").alias("bit"))
+
+
+#: Of the places ``at`` in ``bitmap`` those that are set, without unpacking it.
+_SET = "filter(at, p -> (shiftright(cast(conv(hex(substring(bitmap, cast(p div 8 as int) + 1, 1)), 16, 10) as int), cast(p % 8 as int)) & 1) = 1)"
+
+
+def probe_stored(keys: DataFrame, blocks: DataFrame, bits: int, hashes: int, *by: str) -> DataFrame:
+    """As ``probe``, of a filter in the form it is stored: a block is looked at where bits are asked for, and never unpacked.
+
+    With ``by`` each key meets each filter, so the keys are sent to the blocks: all filters have the same few block numbers, and a
+    shuffle by these would bring them into a few tasks.
+    """
+    asked = keys.select("key").distinct().withColumn("at", F.array_distinct(positions(F.col("key"), bits, hashes)))
+    asked, place = asked.select("key", F.size("at").alias("n"), F.explode("at").alias("bit")), F.col("bit") + 1  # bitmaps count from 1
+    wanted = asked.groupBy("key", "n", F.bitmap_bucket_number(place).alias("block")).agg(F.collect_list(F.bitmap_bit_position(place)).alias("at"))
+    stored = blocks.select(*by, "block", "bitmap")
+    met = stored.join(F.broadcast(wanted), "block") if by else wanted.join(stored, "block", "left")
+    found = met.select("key", *by, "n", F.when(F.col("bitmap").isNull(), 0).otherwise(F.size(F.expr(_SET))).alias("set"))
+    counted = found.groupBy("key", *by).agg(F.sum("set").alias("set"), F.max("n").alias("n"))
+    return (counted.where("set > 0") if by else counted).select("key", *by, (F.col("set") == F.col("n")).alias("may_contain"))

@@ -202,8 +202,7 @@ def bloom_stored_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, folder = runs_of(spark, sf_dir), scratch(spark, "filters")
     bits, hashes = bloom.parameters(PER_RUN)
     bloom.packed(bloom.build(cut, bits, hashes, "file_id"), "file_id").write.parquet(folder)
-    stored = bloom.unpacked(spark.read.parquet(folder), "file_id")
-    maybe = bloom.probe(wanted(spark), stored, bits, hashes, "file_id").where("may_contain")
+    maybe = bloom.probe_stored(wanted(spark), spark.read.parquet(folder), bits, hashes, "file_id").where("may_contain")
     held = cut.select("file_id", "key", F.lit(1).alias("held"))
     return maybe.join(held, ["file_id", "key"], "left").groupBy("key").agg(F.count("*").alias("passed"), F.count("held").alias("held"))
 
