@@ -157,3 +157,34 @@ def test_streaming_state_equals_batch_and_is_robust_to_order(spark, tmp_path):
     to_runs(stream, str(tmp_path / "runs"), str(tmp_path / "progress2")).awaitTermination()
     runs = spark.read.parquet(str(tmp_path / "runs"))
     assert runs.select("file_id").distinct().count() == 2 and runs.count() == 14
+
+
+def test_a_large_batch_is_logged_in_files_and_read_in_splits(spark, tmp_path):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        db = Store(spark, str(tmp_path / "db"), write_buffer_bytes=1 << 62)
+        log = [(i, f"k{i % 7}", "" if i % 5 == 0 else f"v{i}", i % 5 == 0) for i in range(200)]
+        db.write(spark.createDataFrame(log[::-1], CHANGE))
+        db.write(spark.createDataFrame([], CHANGE))
+        db.write(spark.createDataFrame([(0, "k0", "newer", False)], CHANGE))
+        files = sorted((tmp_path / "db/wal/0").glob("part-*"))
+        assert len(files) > 1
+        newest = {k: (v, d) for _, k, v, d in log}
+        state = lambda: {r.key: (r.value, r.is_deleted) for r in Store(spark, db.folder, write_buffer_bytes=1 << 62).scan().collect()}
+        assert state() == newest | {"k0": ("newer", False)}
+        whole = [path.read_text().splitlines() for path in files]
+        assert sum(map(len, whole)) == 200
+        for part in range(1, len(files)):  # damaged in the middle of a file: what follows in this and later files is lost
+            at = sum(map(len, whole[:part])) + len(whole[part]) // 2
+            lines = [*whole[part]]
+            lines[len(lines) // 2] = lines[len(lines) // 2][:-1]
+            (files[part].parent / f".{files[part].name}.crc").unlink(missing_ok=True)
+            files[part].write_text("\n".join(lines) + "\n")
+            assert state() == {k: (v, d) for _, k, v, d in log[:at]} | {"k0": ("newer", False)}
+            files[part].write_text("\n".join(whole[part]) + "\n")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ class Store:
 
     Each manifest is a file of its own, MANIFEST-n, written beside and renamed once whole, so that a store always has the old list
     of runs or the new one. Folders of runs that no manifest lists (of a write that broke off) are left alone, and their
-    numbers are never given out again.
+    numbers are never given out again. A batch is logged in as many files as its sort has parts, and they too are written beside and
+    renamed at once.
 
     The write buffer is looked at once a batch: a batch of any size becomes one run at most (``memory.threshold_flush`` cuts a
     log as a store would that looks after each change). With ``logged`` false nothing is logged, and what isn't flushed is
@@ -51,8 +53,8 @@ class Store:
         self.next_id = 1 + max([-1, *taken, *(e.file_id for e in listed)])
         if taken and self.version < 0 and "wal" not in names:
             raise FileNotFoundError(f"{self.folder} has runs but neither a manifest nor a log")
-        self.memtable = self._replayed() if logged and "wal" in names else spark.createDataFrame([], CHANGE)
-        self.next_seq = 1 + (self.memtable.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0])
+        self.memtable, last = self._replayed() if logged and self.files.names(f"{self.folder}/wal") else (spark.createDataFrame([], CHANGE), -1)
+        self.next_seq = 1 + last
 
     def _manifest(self, names: list[str]) -> tuple[int, list[Entry]]:
         """Number and runs, oldest first, of the newest manifest; one that isn't whole is an error."""
@@ -72,12 +74,22 @@ class Store:
         self.version, self.entries = self.version + 1, list(entries)
         self.files.delete(f"{self.folder}/MANIFEST-{self.version - 1}")
 
-    def _replayed(self, batch: int | None = None) -> DataFrame:
-        """Logs in order of their first sequence number (or one of them); each is cut at its own first damaged line."""
+    def _replayed(self, batch: int | None = None) -> tuple[DataFrame, int]:
+        """Changes of the logs in order of their first sequence number (or of one of them), each cut at its own first damaged line,
+        and the last number that a line has, damaged or not (-1: there is no line).
+
+        Where logs are damaged is looked up at once: the changes are then read in splits, and no log has to go through one task.
+        """
         path = f"{self.folder}/wal/{'*' if batch is None else batch}/part-*"
-        lines = self.spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"/wal/(\d+)/", 1).cast("bigint").alias("first"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-        changes = wal.changes_of(wal.decode(lines, "first"), "first")
-        return changes.select((F.col("first") + F.col("seq")).alias("seq"), "key", "value", "is_deleted")
+        records = wal.parsed(wal.read_batches(self.spark, path), "first")
+        ends = records.groupBy("first").agg(F.min(F.when(F.col("bad"), F.col("pos"))).alias("torn"), F.max("pos").alias("last"))
+        damaged = F.collect_list(F.when(F.col("torn").isNotNull(), F.struct("first", "torn")))
+        row = ends.agg(F.max(F.col("first") + F.col("last")).alias("last"), damaged.alias("damaged")).first()
+        if row.damaged:
+            torn = self.spark.createDataFrame(row.damaged, "first bigint, torn bigint")
+            records = records.join(F.broadcast(torn), "first", "left").where(F.col("torn").isNull() | (F.col("pos") < F.col("torn")))
+        changes = wal.changes_of(records, "first")
+        return changes.select((F.col("first") + F.col("seq")).alias("seq"), "key", "value", "is_deleted"), -1 if row.last is None else row.last
 
     def write(self, changes: DataFrame) -> None:
         """Append a batch (seq in the batch, key, value, is_deleted) to the log, then flush if the write buffer is full."""
@@ -85,12 +97,15 @@ class Store:
             raise RuntimeError("the write buffer is frozen")
         first = self.next_seq
         if self.logged:
-            wal.write(changes.withColumn("timestamp", F.unix_micros(F.current_timestamp()) * 1000), f"{self.folder}/wal/{first}")
-            batch = self._replayed(first)
+            beside = f"{self.folder}/log-{uuid.uuid4().hex}.part"
+            wal.write(changes.withColumn("timestamp", F.unix_micros(F.current_timestamp()) * 1000), beside, one_file=False)
+            self.files.move(beside, f"{self.folder}/wal/{first}")
+            batch, last = self._replayed(first)
         else:
             batch = wal.changes_of(wal.decode(wal.encode(changes.withColumn("timestamp", F.lit(0))).select(F.col("seq").alias("pos"), "line"))).withColumn("seq", F.col("seq") + first)
+            last = batch.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
         self.memtable = self.memtable.unionByName(batch)
-        self.next_seq = 1 + (batch.agg(F.coalesce(F.max("seq"), F.lit(first - 1))).first()[0])
+        self.next_seq = max(first, 1 + last)
         if self.memory_usage() >= self.write_buffer_bytes:
             self.flush()
 

@@ -56,3 +56,12 @@ class Files:
         stream.close()
         if fs.exists(p) or not fs.rename(beside, p):
             raise FileExistsError(path)
+
+    def move(self, folder: str, to: str) -> None:
+        """A folder, once whole, renamed; what stood at ``to`` goes."""
+        p, fs = self.at(folder)
+        target, _ = self.at(to)
+        fs.mkdirs(target.getParent())
+        fs.delete(target, True)
+        if not fs.rename(p, target):
+            raise OSError(f"{folder} can't be renamed to {to}")

@@ -21,22 +21,28 @@ def encode(changes: DataFrame, timestamp: str = "timestamp") -> DataFrame:
     return changes.select("seq", line.alias("line"))
 
 
+def parsed(lines: DataFrame, *by: str) -> DataFrame:
+    """``by``, pos, operation, key, value, timestamp, bad of lines (``by``, pos, line), blank ones passed over.
+
+    A line is damaged (bad) if it is no JSON object or lacks one of the four fields. Each is parsed once: filters stay above the generator.
+    """
+    record = F.from_json("line", f"{WAL_RECORD}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    records = lines.where(F.col("line") != "").select(*by, "pos", F.inline(F.array(record)))
+    bad = F.col("_corrupt").isNotNull()
+    for name in ("operation", "key", "value", "timestamp"):
+        bad = bad | F.col(name).isNull()
+    return records.withColumn("bad", bad).drop("_corrupt")
+
+
 def decode(lines: DataFrame, *by: str) -> DataFrame:
     """Records of the lines (``by``, pos, line) before the first damaged one: ``by``, pos, operation, key, value, timestamp.
 
-    A line is damaged if it is no JSON object or lacks one of the four fields; blank lines are passed over. Lines after a
-    damaged one are lost, as they may have been glued to it. Each line is parsed once; a log (``by``) is bounded by a write
-    buffer and so can be looked at in one task.
+    Lines after a damaged one are lost, as they may have been glued to it. Each line is parsed once; a log (``by``) is bounded by
+    a write buffer and so can be looked at in one task. ``Store`` takes logs of any size.
     """
-    schema = f"{WAL_RECORD}, _corrupt string"
-    parsed = lines.where(F.col("line") != "").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    fields = [F.col(f"r.{name}") for name in ("operation", "key", "value", "timestamp")]
-    bad = F.col("r._corrupt").isNotNull()
-    for field in fields:
-        bad = bad | field.isNull()
-    torn = F.min(F.when(bad, F.col("pos"))).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    marked = parsed.withColumn("torn", torn)
-    return marked.where(F.col("torn").isNull() | (F.col("pos") < F.col("torn"))).select(*by, "pos", *fields)
+    torn = F.min(F.when(F.col("bad"), F.col("pos"))).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    marked = parsed(lines, *by).withColumn("torn", torn)
+    return marked.where(F.col("torn").isNull() | (F.col("pos") < F.col("torn"))).drop("bad", "torn")
 
 
 def changes_of(records: DataFrame, *by: str) -> DataFrame:
@@ -46,9 +52,27 @@ def changes_of(records: DataFrame, *by: str) -> DataFrame:
     return known.select(*by, F.col("pos").cast("bigint").alias("seq"), "key", F.when(deleted, F.lit("")).otherwise(F.col("value")).alias("value"), deleted.alias("is_deleted"))
 
 
-def write(changes: DataFrame, path: str, timestamp: str = "timestamp") -> None:
-    """Append a log in order of ``seq`` as one text file."""
-    encode(changes, timestamp).orderBy("seq").coalesce(1).select("line").write.mode("append").text(path)
+def write(changes: DataFrame, path: str, timestamp: str = "timestamp", *, one_file: bool = True) -> None:
+    """Append a log in order of ``seq`` as one text file, or as several in order of their numbers, so that no task writes it all."""
+    ordered = encode(changes, timestamp).orderBy("seq")
+    (ordered.coalesce(1) if one_file else ordered).select("line").write.mode("append").option("maxRecordsPerFile", 0).text(path)
+
+
+#: Positions that a file of a batch has room for: those of a batch's first file are its line numbers.
+FILE_LINES = 1 << 32
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """first, pos, line of logs of any size: files part-n, in order of n, in folders named by the log's first sequence number.
+
+    Files are read by lines, in splits. A line's number in its file doesn't depend on how the file is split.
+    """
+    file = F.col("_metadata.file_path")
+    first, part = F.regexp_extract(file, r"/(\d+)/part-[^/]*$", 1).cast("bigint"), F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).cast("bigint")
+    text = spark.read.text(path, lineSep="\n")
+    lines = text.select(first.alias("first"), part.alias("part"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    number = F.row_number().over(Window.partitionBy("first", "part").orderBy("split", "at")) - 1
+    return lines.select("first", (F.col("part") * FILE_LINES + number).alias("pos"), "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
